@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pii, quality, urls
+from . import chat, decontamination, mixing, pii, quality, tokens, urls
 from .shared import table
 
 
@@ -18,6 +18,16 @@ def op3_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality_rules(spark, sf_dir):
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*cols)
@@ -33,4 +43,4 @@ def op10_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(typed.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op9_quality_rules, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op4_decontamination, op6_token_counts, op9_quality_rules, op10_chat)}
