@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, pii, quality, tokens, urls
+from . import chat, decontamination, mixing, near_duplicates, pii, quality, tokens, urls
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op4_decontamination(spark, sf_dir):
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return near_duplicates.judge(table(spark, sf_dir, "documents"), near_duplicates.NearParams(shingle=3, percent=85))
+
+
 def op6_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -43,4 +47,4 @@ def op10_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(typed.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op4_decontamination, op6_token_counts, op9_quality_rules, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op4_decontamination, op5_near_duplicates, op6_token_counts, op9_quality_rules, op10_chat)}
