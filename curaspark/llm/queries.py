@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, near_duplicates, pii, quality, tokens, toxicity, urls
+from . import chat, decontamination, mixing, near_duplicates, pii, quality, substrings, tokens, toxicity, urls
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op6_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,4 +55,4 @@ def op10_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(typed.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op4_decontamination, op5_near_duplicates, op6_token_counts, op8_toxicity, op9_quality_rules, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op4_decontamination, op5_near_duplicates, op6_token_counts, op7_substring_dedup, op8_toxicity, op9_quality_rules, op10_chat)}
