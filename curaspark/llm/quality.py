@@ -189,8 +189,12 @@ def judge(docs: DataFrame, labels: DataFrame, params: ListParams = ListParams())
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, params: ListParams = ListParams()) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` that are kept, columns unchanged; the verdict needs no join, as it is an expression."""
-    stats = shared.spill(statistics(docs), "stats")
-    rules = learn(shared.spill(labelled_statistics(stats, labels), "labelled"), params)
+    """The rows of ``docs`` that are kept, columns unchanged.
+
+    Rows are written with their statistics, which are so computed once; learning reads the small columns only.
+    """
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
-    return statistics(whole, ["_row"]).filter(~F.col("base_failed") & ~rules.rejects()).select("_row.*")
+    stats = shared.spill(statistics(whole, ["_row"]), "stats")
+    small = stats.select(F.col("_row.doc_id").alias("doc_id"), *FEATURES)
+    rules = learn(shared.spill(labelled_statistics(small, labels), "labelled"), params)
+    return stats.filter(~F.col("base_failed") & ~rules.rejects()).select("_row.*")
