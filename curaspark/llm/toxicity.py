@@ -50,6 +50,7 @@ class ToxicParams:
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
+    known: frozenset[bytes] = frozenset()  # ordinary words one edit from a term
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     params: ToxicParams = field(default_factory=ToxicParams)
 
@@ -174,8 +175,8 @@ def _quoted(raw: bytes, lo: int, hi: int, a: int, b: int, before: bytes, window:
 _REPORTING = frozenset(x.encode() for x in REPORTING)
 
 
-def features(automaton: Automaton, params: ToxicParams, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One row per text: 1, terms used, misspelled, quoted, any of them used, share of the words."""
+def features(automaton: Automaton, known: frozenset[bytes], params: ToxicParams, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """One row per text: 1, terms used (a misspelling is most of one), misspelled, quoted, any of them used, share of the words."""
     out = np.zeros((len(off) - 1, FEATURES))
     out[:, 0] = 1
     h, starts, ends, woff = arrays.words(data, off, arrays.ALNUM)
@@ -196,11 +197,11 @@ def features(automaton: Automaton, params: ToxicParams, data: np.ndarray, off: n
             quoted[d] += 1
         elif kinds[k] == 1:
             used[d] += 1
-        else:
+        elif raw[starts[k] : ends[k]] not in known:
             bent[d] += 1
-    n = np.maximum(np.diff(woff), 1)
-    out[:, 1], out[:, 2], out[:, 3] = np.log1p(used), np.log1p(bent), np.log1p(quoted)
-    out[:, 4], out[:, 5] = (used + bent > 0), np.minimum(1.0, 20 * (used + bent) / n)
+    n, all_used = np.maximum(np.diff(woff), 1), used + 0.75 * bent
+    out[:, 1], out[:, 2], out[:, 3] = np.log1p(all_used), np.log1p(bent), np.log1p(quoted)
+    out[:, 4], out[:, 5] = (all_used > 0), np.minimum(1.0, 20 * all_used / n)
     return out
 
 
@@ -212,43 +213,55 @@ def sample(docs: DataFrame, labels: DataFrame, params: ToxicParams) -> DataFrame
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic").groupBy(F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def lexicon(rows: DataFrame, params: ToxicParams) -> list[str]:
-    """Terms by their likelihood ratio; counts are of families of texts over the whole sample.
+def lexicon(rows: DataFrame, params: ToxicParams) -> tuple[list[str], frozenset[bytes]]:
+    """Terms by their likelihood ratio, and ordinary words that a misspelling must not be; counts are of families of texts over the whole sample.
 
     A family is a MinHash of a text's three-word runs: near copies mostly share it and count once.
     """
     w = F.regexp_extract_all(F.translate("text", shared.UPPER, shared.LOWER), F.lit(shared.ALNUM_WORD), F.lit(0))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3)))
-    listed = rows.select("toxic", w.alias("w")).select("toxic", F.array_distinct("w").alias("w"), F.array_min(triples).alias("family"))
+    triples = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(x, i, 3)))
+    listed = rows.select("toxic", shared.let(w, lambda x: F.struct(F.array_distinct(x).alias("w"), F.array_min(triples(x)).alias("family"))).alias("_x")).select("toxic", "_x.w", "_x.family")
+    listed = shared.spill(listed, "families")
     each = listed.select("toxic", "family", F.explode("w").alias("t")).groupBy("t", "family").agg(F.max("toxic").alias("toxic"))
     families = listed.groupBy("family").agg(F.max("toxic").alias("toxic")).agg(F.avg("toxic"), F.sum("toxic")).first()
     base, toxic = families[0] or 0.0, families[1] or 0
     if not 0 < base < 1:
-        return []
-    terms = each.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).filter(F.col("n") >= max(params.min_families, params.min_prevalence * toxic))
+        return [], frozenset()
+    counts = shared.spill(each.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")), "words")
+    terms = counts.filter(F.col("n") >= max(params.min_families, params.min_prevalence * toxic))
     share = F.col("p") / F.col("n")
     part = lambda x, ref: F.when(x > 0, x * F.log(x / (F.col("n") * ref))).otherwise(0.0)
     ratio = 2 * (part(F.col("p"), F.lit(base)) + part(F.col("n") - F.col("p"), F.lit(1 - base)))
     found = terms.withColumn("g", ratio).filter((share >= params.min_share) & (F.col("g") >= params.min_ratio) & (F.length("t") >= 3))
-    return [r.t for r in found.orderBy(F.desc("g"), "t").limit(params.max_terms).collect()]
+    chosen = [r.t for r in found.orderBy(F.desc("g"), "t").limit(params.max_terms).collect()]
+    automaton = Automaton(chosen, params.fuzzy_from)
 
+    def near(batches):
+        for _, data, off in arrays.slices(batches, "t"):
+            hit = automaton.classify(data, off[:-1], off[1:]) == 2
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[off[i] : off[i + 1]] for i in np.flatnonzero(hit)], pa.binary())], ["w"])
 
-def fit(rows: DataFrame, terms: list[str], params: ToxicParams) -> Model:
+    ordinary = counts.filter(F.col("n") - F.col("p") >= 2).select("t")
+    return chosen, frozenset(bytes(r.w) for r in ordinary.mapInArrow(near, "w binary").collect())
+
+
+def fit(rows: DataFrame, terms: list[str], known: frozenset[bytes], params: ToxicParams) -> Model:
     """Logistic weights by Newton steps, from at most train_rows rows of FEATURES numbers."""
     automaton = Automaton(terms, params.fuzzy_from)
 
     def run(batches):
         for piece, data, off in arrays.slices(batches, "text"):
-            x = features(automaton, params, data, off)
+            x = features(automaton, known, params, data, off)
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), arrays.list_array(pa.array(x.ravel()), np.arange(len(x) + 1) * FEATURES)], ["toxic", "x"])
 
     got = rows.select("text", "toxic").mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()
     if not got:
-        return Model(terms, np.zeros(FEATURES), params)
+        return Model(terms, known, np.zeros(FEATURES), params)
     x, y, n = np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]), np.array([float(r.n) for r in got])
-    # a misspelling counts like a use unless the data say otherwise, a quotation like nothing
-    prior = np.array([0, 1.0, 1.0, 0, 1.5, 0])
-    w, ridge = prior.copy(), np.array([1e-3, 0.5, 0.5, 0.5, 0.5, 0.5])
+    # a misspelling counts like a use and a quotation like nothing, unless the data say otherwise
+    prior = np.array([0, 1.0, 0, 0, 1.5, 0])
+    w, ridge = prior.copy(), np.array([1e-3, 0.5, 10.0, 0.5, 0.5, 0.5])
 
     def loss(w):
         z = x @ w
@@ -264,24 +277,24 @@ def fit(rows: DataFrame, terms: list[str], params: ToxicParams) -> Model:
         w = w - size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    return Model(terms, w, params)
+    return Model(terms, known, w, params)
 
 
 def learn(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> Model:  # noqa: B008
     rows = shared.spill(sample(docs, labels, params), "labelled")
-    return fit(rows, lexicon(rows, params), params)
+    return fit(rows, *lexicon(rows, params), params)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     automaton = Automaton(model.terms, model.params.fuzzy_from)
-    held = docs.sparkSession.sparkContext.broadcast((automaton, model.weights))
+    held = docs.sparkSession.sparkContext.broadcast((automaton, model.known, model.weights))
     params = model.params
 
     def run(batches):
-        automaton, weights = held.value
+        automaton, known, weights = held.value
         for piece, data, off in arrays.slices(batches, "text"):
-            z = features(automaton, params, data, off) @ weights
+            z = features(automaton, known, params, data, off) @ weights
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("score double").fields])
