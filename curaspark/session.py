@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +25,23 @@ def ship_package(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="curaspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def spill(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage and survives lost executors, and the work above it is
+    done once even if several consumers follow.
+    """
+    path = f"{shared_dir(df.sparkSession)}/curaspark/{uuid.uuid4().hex}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
