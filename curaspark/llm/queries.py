@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat, decontamination, mixing, near_duplicates, pii, quality, substrings, tokens, toxicity, urls
+from .oracles import ORACLES
 from .shared import table
 
 
@@ -19,7 +20,7 @@ def op3_url_filter(spark, sf_dir):
 
 
 def op4_decontamination(spark, sf_dir):
-    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op5_near_duplicates(spark, sf_dir):
@@ -55,4 +56,5 @@ def op10_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(typed.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_url_filter, op4_decontamination, op5_near_duplicates, op6_token_counts, op7_substring_dedup, op8_toxicity, op9_quality_rules, op10_chat)}
