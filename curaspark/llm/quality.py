@@ -124,9 +124,10 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def learn(labelled: DataFrame, params: ListParams = ListParams()) -> DecisionList:  # noqa: B008
     """``labelled``: FEATURES, ``bad`` (0 or 1) and ``fold`` (0 or 1 grow, 2 prune). Small columns, read once per step."""
-    q = [(i + 1) / (params.n_cuts + 1) for i in range(params.n_cuts)]
+    q = [i / params.n_cuts for i in range(params.n_cuts + 1)]
     got = labelled.agg(*(F.percentile_approx(f, q, 2000).alias(f) for f in FEATURES)).first()
-    cuts = {f: sorted(set(got[f] or [])) for f in FEATURES}
+    # quantiles and the middles between them, which part two groups wherever the quantiles fall
+    cuts = {f: sorted({*q, *((a + b) / 2 for a, b in zip(q, q[1:], strict=False))}) for f in FEATURES for q in [sorted(set(got[f] or []))]}
     bins = [sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES]
     left, rules = F.lit(True), []
     rows = labelled.select("bad", "fold", *FEATURES, F.array(*(F.struct(F.lit(k).alias("f"), b.alias("b")) for k, b in enumerate(bins))).alias("_bins"))
