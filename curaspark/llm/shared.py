@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spill
 
+__all__ = ["ALNUM_WORD", "LOWER", "UPPER", "WORD", "let", "n_words", "spill", "table", "words"]
 #: A run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same for the lower-cased alphanumeric words of decontamination.
@@ -23,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="curaspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def spill(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors, and the work above it is
-    done once even if several consumers follow.
-    """
-    path = f"{shared_dir(df.sparkSession)}/curaspark/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 
