@@ -42,6 +42,16 @@ def spill(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage and survives lost executors, and the work above it is
     done once even if several consumers follow.
     """
-    path = f"{shared_dir(df.sparkSession)}/curaspark/{uuid.uuid4().hex}-{label}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/curaspark/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has written in between; results that were not stored elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

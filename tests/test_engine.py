@@ -234,3 +234,13 @@ def test_full_image_instances(spark):
     rows = spark.createDataFrame([("a", "s", 8, 6, "OK", [((0.0, 0.0, 1.0, 1.0), 0.4, 0), ((0.0, 0.0, 1.0, 1.0), 0.7, 0)]), ("b", "s", 8, 6, "NO_DETECTION", []), ("c", None, 8, 6, "OK", []), ("d", "s", 8, 6, "ERROR", [])], d)
     got = {r.image_path: r for r in instances.of_images(instances.usable(rows)).collect()}
     assert set(got) == {"a", "b"} and got["a"].score == 0.7 and got["b"].score == 0.0 and got["a"].instance_key == got["b"].instance_key and tuple(got["a"].bbox_xywh) == (0, 0, 8, 6)
+
+
+def test_written_tables_and_clean_up(spark):
+    from curaspark.session import clean_up, spill
+
+    df = spill(spark.range(3).withColumn("x", F.lit(None).cast("string")), "t")
+    assert df.count() == 3 and spill(df.limit(0), "none").count() == 0
+    clean_up(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        df.collect()
