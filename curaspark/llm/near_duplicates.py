@@ -6,13 +6,15 @@
    in which each sample flips one bit.  The population count of two sketches'
    XOR estimates the number of samples in which they differ.
 3. Classes that share a band meet.  First every member of a band meets the
-   band's least member only; pairs whose sketches rule the similarity out go,
-   the others are confirmed on the full shingle sets, and confirmed links give
-   components.
-4. In bands that still hold several components, the members outside the largest
-   one are held against all members of other components: sketches of salted
-   blocks of a band are compared, and the plausible pairs confirmed.  Pairs
-   inside one component change nothing, so they are not made.
+   band's most central members only (those with most company in all bands);
+   pairs whose sketches rule the similarity out go, the others are confirmed on
+   the full shingle sets, and confirmed links give components.
+4. Classes that are joined by shared bands form a cluster.  In clusters that
+   still hold several components, the members outside the largest one are held
+   against all members of other components: their sets meet in salted blocks of
+   bounded size, where all overlaps of a pair of blocks are one matrix product
+   over the shingles.  Only links leave a block; pairs inside one component
+   change nothing, so they are not made.
 
 A pair at the threshold shares no band with probability (1 - s**rows)**bands
 (3e-7 at 0.85), and the sketch margin is over five standard deviations.
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,7 +46,9 @@ class NearParams:
     rows: int = 6
     sketch_bits: int = 512
     margin: float = 0.2  # by which the estimated similarity may fall short of the threshold
-    block: int = 1024  # members of a band that one task holds against others
+    centres: int = 2  # members of a band that all others meet, one after the other
+    block_rows: int = 1024  # members of a cluster in one block, and their shingles
+    block_shingles: int = 1 << 19
 
     @property
     def samples(self) -> int:
@@ -157,25 +161,64 @@ def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _cross(blocks: DataFrame, params: NearParams) -> DataFrame:
-    """Plausible pairs between components, from rows (cell, outer, key, component, n, sketch) of which ``cell`` is one pair of blocks."""
-    most, low = params.most_flips(), params.percent / 100
+def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
+    """key, g: the sorted shingle hashes of each text (key, text)."""
+
+    def run(batches):
+        for rows, data, off in arrays.slices(batches, "text"):
+            g, goff = arrays.shingle_sets(data, off, params.shingle)
+            yield pa.RecordBatch.from_arrays([rows.column("key"), arrays.list_array(pa.array(g.view(np.int64)), goff)], ["key", "g"])
+
+    return texts.select("key", "text").mapInArrow(run, "key bigint, g array<bigint>")
+
+
+def block_links(outer: tuple[np.ndarray, np.ndarray, np.ndarray], inner: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs of two blocks, each given as (shingles, offsets, components)."""
+    (g, goff, gc), (h, hoff, hc) = outer, inner
+    shared_tokens = np.intersect1d(g, h)  # the others are in no overlap
+    n, m = len(goff) - 1, len(hoff) - 1
+    overlap = np.zeros((n, m), np.float32)
+
+    def entries(x, off):
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        k = np.searchsorted(shared_tokens, x)
+        ok = (k < len(shared_tokens)) & (shared_tokens[np.minimum(k, max(0, len(shared_tokens) - 1))] == x) if len(shared_tokens) else np.zeros(len(x), bool)
+        order = np.argsort(k[ok], kind="stable")
+        return k[ok][order], row[ok][order]
+
+    (gk, gr), (hk, hr) = entries(g, goff), entries(h, hoff)
+    for lo in range(0, len(shared_tokens), step):
+        a, b = np.zeros((n, step), np.float32), np.zeros((m, step), np.float32)
+        for (k, r), x in (((gk, gr), a), ((hk, hr), b)):
+            i, j = np.searchsorted(k, [lo, lo + step])
+            x[r[i:j], k[i:j] - lo] = 1
+        overlap += a @ b.T
+    union = np.diff(goff)[:, None] + np.diff(hoff)[None, :] - overlap
+    return np.nonzero((100 * overlap >= percent * union) & (gc[:, None] != hc[None, :]))
+
+
+def _cross(cells: DataFrame, params: NearParams) -> DataFrame:
+    """Links between components, from rows (cell, outer, key, component, g) of which ``cell`` is one pair of blocks."""
+    percent = params.percent
 
     def run(key, table):
-        n = table.num_rows
+        table = table.combine_chunks()
         outer = np.array(table.column("outer").to_pylist(), bool)
-        ids, comp, size = (np.asarray(table.column(c).combine_chunks().to_numpy()) for c in ("key", "component", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
-        a, b = [], []
-        rest = np.flatnonzero(~outer)
-        for i in np.flatnonzero(outer):
-            ok = rest[(comp[rest] != comp[i]) & (size[rest] >= low * size[i] - 1) & (size[i] >= low * size[rest] - 1)]
-            ok = ok[np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
-            a += [ids[i]] * len(ok)
-            b += ids[ok].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocks.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+        def block(mask):
+            t = table.filter(pa.array(mask))
+            lists = t.column("g").combine_chunks()
+            sizes = np.array([len(x) for x in lists], np.int64)
+            g = lists.flatten().to_numpy(zero_copy_only=False)
+            return t.column("key").to_numpy(), (g, np.append(0, np.cumsum(sizes)), t.column("component").to_numpy())
+
+        (a, x), (b, y) = block(outer), block(~outer)
+        i, j = block_links(x, y, percent)
+        # one link between two components is enough
+        _, first = np.unique(np.stack([x[2][i], y[2][j]]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(a[i[first]], pa.int64()), "b": pa.array(b[j[first]], pa.int64())})
+
+    return cells.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
 def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFrame]:
@@ -186,33 +229,46 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
     reps = signed.filter("key is not null").groupBy("key").agg(one.alias("r")).select("key", "r.doc_id", "r.th", F.col("r.n_shingles").alias("n"))
     firsts = signed.join(reps.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("th").alias("t")), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").dropDuplicates(["key"])
     firsts = shared.spill(firsts.withColumnRenamed("n_shingles", "n"), "classes")
-    band = F.explode("bands").alias("band")
-    held = firsts.select(band, "key").groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", "least")
-    member = shared.spill(firsts.select(band, "key").join(held, "band"), "members")
+    # bands that several classes share, and their most central members
+    each = firsts.select(F.explode("bands").alias("band"), "key")
+    shared_bands = each.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    member = shared.spill(each.join(shared_bands, "band"), "members")
+    company = member.groupBy("key").agg(F.sum("c").alias("company"))
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key"))
+    centre = shared.spill(member.join(company, "key").withColumn("rank", rank).filter(F.col("rank") <= params.centres).select("band", F.col("key").alias("centre"), "rank"), "centres")
     # the texts that a confirmation may need
     met = firsts.join(member.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("d"), F.col("th").alias("t"))
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     texts = shared.spill(hashed.join(met, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("key", "text").dropDuplicates(["key"]), "texts")
     sketches = firsts.select("key", "n", "sketch")
     side = lambda s: sketches.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    first = member.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    linked = shared.spill(confirm(plausible(first.join(side("a"), "a").join(side("b"), "b"), params), texts, params), "confirmed")
-    comp = shared.spill(components.components(linked), "components")
-    # bands that still hold several components
-    named = member.select("band", "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
-    per = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    wide = per.groupBy("band").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    k = F.lit(params.block)
-    placed = named.join(wide, "band").withColumn("no", F.ceil((F.col("all") - F.col("most")) / k)).withColumn("na", F.ceil(F.col("all") / k)).join(sketches, "key")
+    comp, links = None, None
+    for k in range(1, params.centres + 1):
+        pairs = member.join(centre.filter(F.col("rank") == k), "band").filter("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+        if comp is not None:  # only what may still join two components
+            of = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))  # noqa: B023, E731
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        found = shared.spill(confirm(plausible(pairs.join(side("a"), "a").join(side("b"), "b"), params), texts, params), "confirmed")
+        links = found if links is None else links.unionByName(found)
+        comp = shared.spill(components.components(links), "components")
+    # clusters of bands that still hold several components
+    met = member.join(centre.filter("rank = 1"), "band").select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    cluster = components.components(met).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    named = cluster.join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "cluster", F.coalesce("component", "key").alias("component")).join(firsts.select("key", "n"), "key")
+    named = shared.spill(named, "named")
+    per = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    wide = per.groupBy("cluster").agg(F.max(F.struct("m", "s", "component")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda m, s: F.greatest(F.ceil(m / params.block_rows), F.ceil(s / params.block_shingles))
+    wide = wide.select("cluster", F.col("main.component").alias("main"), blocks(F.col("m"), F.col("s")).alias("na"), blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("no"))
+    open_rows = shared.spill(named.join(shared.spill(wide, "clusters"), "cluster"), "open")
+    sets = shared.spill(shingle_arrays(texts.join(open_rows.select("key"), "key", "left_semi"), params), "shingles")
+    placed = open_rows.join(sets, "key")
     salt = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-    cell = lambda i, j: F.xxhash64(F.col("band"), i, j).alias("cell")
-    outer = placed.filter("component <> main").select(F.lit(True).alias("outer"), "band", "key", "component", "n", "sketch", salt("no").alias("i"), F.explode(every("na")).alias("j"))
-    inner = placed.select(F.lit(False).alias("outer"), "band", "key", "component", "n", "sketch", salt("na").alias("j"), F.explode(every("no")).alias("i"))
-    cols = ["outer", "key", "component", "n", "sketch"]
-    blocks = outer.select(cell(F.col("i"), F.col("j")), *cols).unionByName(inner.select(cell(F.col("i"), F.col("j")), *cols))
-    more = _cross(blocks, params).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    extra = shared.spill(confirm(shared.spill(more, "plausible"), texts, params), "confirmed")
+    cell = F.xxhash64("cluster", "i", "j").alias("cell")
+    outer = placed.filter("component <> main").select(F.lit(True).alias("outer"), "cluster", "key", "component", "g", salt("no").alias("i"), F.explode(every("na")).alias("j"))
+    inner = placed.select(F.lit(False).alias("outer"), "cluster", "key", "component", "g", salt("na").alias("j"), F.explode(every("no")).alias("i"))
+    extra = shared.spill(_cross(outer.unionByName(inner).select(cell, "outer", "key", "component", "g"), params), "confirmed")
     if not extra.isEmpty():
         comp = shared.spill(components.components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
     return signed.select("doc_id", "n_shingles", "key"), comp

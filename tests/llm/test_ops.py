@@ -202,7 +202,7 @@ def test_a_large_group_of_edited_copies(spark, frame):
     rows += [(400 + i, rows[7][1].upper()) for i in range(40)] + [(i, t) for i, t in EDGE if i is not None and i < 5]
     rows = [(i if i >= 10 else i + 1000, t) for i, t in rows]
     want = brute.near_duplicates(dict(rows), 3, 85)
-    params = near_duplicates.NearParams(shingle=3, percent=85, block=64, centres=1)
+    params = near_duplicates.NearParams(shingle=3, percent=85, block_rows=64, centres=1)
     got = near_duplicates.judge(frame(rows), params).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
