@@ -301,3 +301,38 @@ def embedding_signature(cfg: Config, artifact_sha256: str, basis_sha256: str) ->
     keys = ("artifact_revision", "model_id", "package_version", "loader_version", "input_size", "patch_size", "granularity", "layer", "letterbox_fill", "patch_normalization", "device", "inference_precision")
     padding = 0.0 if e.granularity == "image" else e.box_padding_fraction
     return sha256_json({k: getattr(e, k) for k in keys} | {"artifact_sha256": artifact_sha256, "basis_sha256": basis_sha256, "padding_fraction": padding, "pooling": dataclasses.asdict(e.pooling), "embedding_version": 2, "pooling_version": 1})
+
+
+#: Form fields of a run and administrator's settings, with the setting that each one is: fixed values.
+FORM = {
+    "cluster_count": "clustering.k",
+    "embedding_granularity": "embedding.granularity",
+    "detection_threshold": "detector.threshold",
+    "box_padding_fraction": "embedding.box_padding_fraction",
+    "max_detections_per_image": "detector.max_detections_per_image",
+    "force_recompute": "runtime.force_recompute",
+}
+ADMIN = {
+    "detector_checkpoint_path": "detector.checkpoint_path",
+    "detector_checkpoint_sha256": "detector.expected_checkpoint_sha256",
+    "detector_model_class": "detector.model_class",
+    "embedder_artifact_path": "embedding.artifact_path",
+    "embedder_artifact_sha256": "embedding.expected_artifact_sha256",
+    "embedder_artifact_revision": "embedding.artifact_revision",
+    "max_failure_fraction": "runtime.max_failure_fraction",
+    "temporary_root": "runtime.temporary_root",
+}
+
+
+def overrides_from(form: dict[str, Any], admin: dict[str, Any], gpu: bool = False) -> list[str]:
+    """Overrides of a submitted form and the administrator's settings; blank fields keep their defaults, unknown ones are errors.
+
+    Both models run on the same kind of device; without a GPU the embedder computes in 32 bits.
+    """
+    out = []
+    for given, known in ((form, FORM), (admin, ADMIN)):
+        if unknown := set(given) - set(known):
+            raise ConfigurationError(f"unknown fields: {', '.join(sorted(unknown))}")
+        out += [f"{known[k]}={yaml.safe_dump(v, default_flow_style=True).splitlines()[0]}" for k, v in given.items() if v is not None and v != ""]
+    device, precision = ("cuda", "bf16") if gpu else ("cpu", "float32")
+    return [*out, f"detector.device={device}", f"embedding.device={device}", f"embedding.inference_precision={precision}"]

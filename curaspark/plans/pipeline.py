@@ -29,7 +29,7 @@ from ..functions.vectors import assign
 from ..operators import caching, clustering, detections, inference, instances, review, summary
 from ..session import ship_package, spill
 from ..sources import images as sources
-from ..sources.store import LocalStore
+from ..sources.store import LocalStore, load_basis, save_basis, save_signature
 from . import bundle
 
 
@@ -74,6 +74,7 @@ class CurationPipeline:
         cfg, read, decode, detector = self.cfg, self.read, self.models.decode, self.models.detector
         d = cfg.detector
         signature = C.detector_signature(cfg, self.models.checkpoint_sha256)
+        save_signature(self.store, "detector", signature, C.as_dict(cfg, True)["detector"] | {"checkpoint_sha256": self.models.checkpoint_sha256})
         usable = instances.usable(images)
         stored = caching.read_cache(self.spark, f"{self.cache}/detections", S.DETECTION_CACHE)
         known = caching.valid_detections(stored, signature, d.threshold, d.max_detections_per_image)
@@ -114,15 +115,26 @@ class CurationPipeline:
         retries = F.coalesce("retry_count", F.lit(0)) if "retry_count" in has else F.lit(0)
         return bad.select("image_path", text("image_sha256").alias("image_sha256"), text("instance_id").alias("instance_id"), "stage", "error_code", F.coalesce(text("exception_type"), F.lit("RowError")).alias("exception_type"), F.coalesce(text("error_message"), F.lit("")).alias("message"), retries.alias("retry_count"))
 
+    def _basis(self) -> tuple[np.ndarray | None, str]:
+        """The positional basis, from the store or from the embedder's map of a blank image, and its digest."""
+        e, blank = self.cfg.embedding, self.models.blank_patches
+        if not e.positional_debias.enabled or blank is None:
+            return None, "none"
+        signature = C.basis_signature(self.cfg, self.models.artifact_sha256)
+        n = e.positional_debias.components
+        got = load_basis(self.store, signature, (blank.shape[0], n))
+        if got is None:
+            basis = pooling.positional_basis(blank, n)
+            got = basis, save_basis(self.store, signature, basis)
+        return got
+
     def _embed(self, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int], str]:
         """Images with their status, instances with vectors, failures, cache counters, embedding signature."""
         cfg, read, decode, embedder = self.cfg, self.read, self.models.decode, self.models.embedder
         e = cfg.embedding
-        basis = None
-        if e.positional_debias.enabled and self.models.blank_patches is not None:
-            basis = pooling.positional_basis(self.models.blank_patches, e.positional_debias.components)
-        basis_sha = hashlib.sha256(basis.tobytes()).hexdigest() if basis is not None else "none"
+        basis, basis_sha = self._basis()
         signature = C.embedding_signature(cfg, self.models.artifact_sha256, basis_sha)
+        save_signature(self.store, "embedding", signature, C.as_dict(cfg, True)["embedding"] | {"artifact_sha256": self.models.artifact_sha256, "basis_sha256": basis_sha})
         usable = instances.usable(images)
         if e.granularity == "image":
             made = instances.of_images(usable)

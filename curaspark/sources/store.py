@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 
 from ..errors import ArtifactError
+from ..functions.pooling import is_basis
 
 
 class LocalStore:
@@ -71,6 +72,33 @@ class LocalStore:
         return self.write(name, out.getvalue())
 
 
+def save_basis(store: LocalStore, signature: str, basis: np.ndarray) -> str:
+    """Writes an orthonormal basis and its digest under its signature."""
+    if not is_basis(basis):
+        raise ArtifactError("the basis is not orthonormal")
+    digest = store.write_matrix(f"specs/basis/{signature}.npy", basis)
+    store.write_json(f"specs/basis/{signature}.json", {"signature": signature, "sha256": digest, "shape": list(basis.shape)})
+    return digest
+
+
+def load_basis(store: LocalStore, signature: str, shape: tuple[int, int]) -> tuple[np.ndarray, str] | None:
+    """The stored basis and its digest, or None where it is absent or breaks its contract."""
+    names = [f"specs/basis/{signature}.{x}" for x in ("json", "npy")]
+    if not all(map(store.exists, names)):
+        return None
+    spec, raw = store.read_json(names[0]), store.read(names[1])
+    digest = hashlib.sha256(raw).hexdigest()
+    if spec.get("signature") != signature or spec.get("sha256") != digest:
+        return None
+    basis = np.load(io.BytesIO(raw), allow_pickle=False)
+    return (basis, digest) if is_basis(basis, shape) else None
+
+
+def save_signature(store: LocalStore, kind: str, signature: str, inputs: dict) -> None:
+    """What a signature stands for, beside the caches that it names."""
+    store.write_json(f"specs/{kind}/{signature}.json", {"kind": kind, "signature": signature, "inputs": inputs})
+
+
 def file_sha256(path: str | os.PathLike) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()

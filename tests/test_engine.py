@@ -244,3 +244,38 @@ def test_written_tables_and_clean_up(spark):
     clean_up(spark)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
         df.collect()
+
+
+def test_form_and_settings():
+    over = C.overrides_from({"cluster_count": 4, "detection_threshold": 0.5, "embedding_granularity": ""}, {"detector_checkpoint_path": "/m/d", "embedder_artifact_path": "/m/e", "embedder_artifact_revision": "7"})
+    cfg = C.compose(None, [o if "revision" not in o else "embedding.artifact_revision='7'" for o in over])
+    assert cfg.clustering.k == 4 and cfg.detector.device == cfg.embedding.device == "cpu" and cfg.embedding.inference_precision == "float32" and cfg.embedding.granularity == "object"
+    with pytest.raises(ConfigurationError):
+        C.overrides_from({"k": 1}, {})
+
+
+def test_basis_store(tmp_path):
+    from curaspark.errors import ArtifactError
+    from curaspark.sources.store import LocalStore, load_basis, save_basis
+
+    store = LocalStore(tmp_path)
+    basis = np.eye(4, 2, dtype=np.float32)
+    digest = save_basis(store, "sig", basis)
+    assert load_basis(store, "sig", (4, 2))[1] == digest and load_basis(store, "sig", (4, 3)) is None and load_basis(store, "other", (4, 2)) is None
+    store.write_matrix("specs/basis/sig.npy", basis * 1.0001)
+    assert load_basis(store, "sig", (4, 2)) is None
+    with pytest.raises(ArtifactError):
+        save_basis(store, "bad", np.ones((4, 2), np.float32))
+
+
+def test_cache_contracts(spark):
+    from curaspark.operators import caching
+
+    d = "detector_signature string, image_sha256 string, image_width int, image_height int, detections array<struct<bbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>,score:double,raw_class_id:int>>"
+    box = (1.0, 1.0, 9.0, 9.0)
+    rows = [("s", "good", 10, 10, [(box, 0.9, 0)]), ("s", "none", 10, 10, []), ("s", "low", 10, 10, [(box, 0.4, 0)]), ("s", "out", 8, 10, [(box, 0.9, 0)]), ("s", "many", 10, 10, [(box, 0.9, 0)] * 3), ("t", "other", 10, 10, [(box, 0.9, 0)]), ("s", "thin", 10, 10, [((1.0, 1.0, 1.5, 9.0), 0.9, 0)])]
+    got = caching.valid_detections(spark.createDataFrame(rows, d), "s", 0.5, 2)
+    assert {r.image_sha256 for r in got.collect()} == {"good", "none"}
+    v = [("s", "good", [1.0, 0.0]), ("s", "long", [1.1, 0.0]), ("s", "nan", [float("nan"), 1.0]), ("s", "short", [1.0]), ("t", "other", [1.0, 0.0])]
+    got = caching.valid_vectors(spark.createDataFrame(v, "embedding_signature string, instance_key string, vector array<float>"), "s", 2)
+    assert {r.instance_key for r in got.collect()} == {"good"}
