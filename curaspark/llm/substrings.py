@@ -249,7 +249,8 @@ def repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame
     found = shared.spill(find_anchors(docs, params), "anchors")
     # most anchors are met once: only the others' segments go on
     busy = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("x"), F.max("seg").alias("y")).filter("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed"))
-    found = shared.spill(found.join(busy, "h"), "busy")
+    # written first, so that the join has both sides' partitions to itself and a hot anchor's can be split
+    found = shared.spill(found.join(shared.spill(busy, "met"), "h"), "busy")
     segs = found.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("did", "at", "lo", "hi")).alias("r")).select("h", "seg", "c", "mixed", "r.*")
     segs = shared.spill(segs, "segments")
     whole = segs.filter("c > 1").select("h", "seg", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
