@@ -65,7 +65,7 @@ def schedule(plan: DataFrame, n_slots: int, params: MixParams = MixParams()) ->
     point = (F.col("slot") + 0.5) * GOLDEN
     slots = plan.sparkSession.range(n_slots).select(F.col("id").alias("slot")).withColumn("u", point - F.floor(point))
     # the sources' bounds as one array: a slot finds its source without a join
-    bounds = [r.hi for r in plan.orderBy("sid").select("hi").collect()]
+    bounds = [r.hi for r in sorted(plan.select("sid", "hi").collect(), key=lambda r: r.sid)]
     pick = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(1), lambda a, b: a + F.when(F.col("u") >= b, 1).otherwise(0))
     slots = slots.withColumn("sid", F.least(pick, F.lit(len(bounds)))).withColumn("chunk", F.floor(F.col("slot") / params.chunk))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1

@@ -46,7 +46,7 @@ class NearParams:
     rows: int = 6
     sketch_bits: int = 512
     margin: float = 0.2  # by which the estimated similarity may fall short of the threshold
-    centres: int = 2  # members of a band that all others meet, one after the other
+    centres: int = 2  # members of a band that all others meet
     block_rows: int = 1024  # members of a cluster in one block, and their shingles
     block_shingles: int = 1 << 19
 
@@ -242,15 +242,9 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
     texts = shared.spill(hashed.join(met, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("key", "text").dropDuplicates(["key"]), "texts")
     sketches = firsts.select("key", "n", "sketch")
     side = lambda s: sketches.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    comp, links = None, None
-    for k in range(1, params.centres + 1):
-        pairs = member.join(centre.filter(F.col("rank") == k), "band").filter("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        if comp is not None:  # only what may still join two components
-            of = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))  # noqa: B023, E731
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        found = shared.spill(confirm(plausible(pairs.join(side("a"), "a").join(side("b"), "b"), params), texts, params), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        comp = shared.spill(components.components(links), "components")
+    pairs = member.join(centre, "band").filter("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    links = shared.spill(confirm(plausible(pairs.join(side("a"), "a").join(side("b"), "b"), params), texts, params), "confirmed")
+    comp = shared.spill(components.components(links), "components")
     # clusters of bands that still hold several components
     met = member.join(centre.filter("rank = 1"), "band").select(F.col("key").alias("a"), F.col("centre").alias("b"))
     cluster = components.components(met).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
@@ -277,7 +271,8 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """rows with the component as its least doc_id."""
     named = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("_class", F.coalesce("component", "key"))
-    least = named.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
+    # written first, so that the join's partitions are its own and a hot class can be split
+    least = shared.spill(named.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least")), "least")
     return named.join(least, "_class", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
 
 

@@ -128,15 +128,15 @@ def learn(labelled: DataFrame, params: ListParams = ListParams()) -> DecisionLis
     got = labelled.agg(*(F.percentile_approx(f, q, 2000).alias(f) for f in FEATURES)).first()
     # quantiles and the middles between them, which part two groups wherever the quantiles fall
     cuts = {f: sorted({*q, *((a + b) / 2 for a, b in zip(q, q[1:], strict=False))}) for f in FEATURES for q in [sorted(set(got[f] or []))]}
-    bins = [sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES]
+    # the bin of each value is found once and written: the steps' plans stay small
+    bins = [_bin(f, cuts[f]) for f in FEATURES]
+    rows = shared.spill(labelled.select("bad", "fold", *FEATURES, F.array(*(F.struct(F.lit(k).alias("f"), b.alias("b")) for k, b in enumerate(bins))).alias("_bins")), "bins")
     left, rules = F.lit(True), []
-    rows = labelled.select("bad", "fold", *FEATURES, F.array(*(F.struct(F.lit(k).alias("f"), b.alias("b")) for k, b in enumerate(bins))).alias("_bins"))
     for _ in range(params.max_rules):
         rule = _grow(rows.filter(left & (F.col("fold") < 2)), cuts, params)
-        rule = _prune(rows.filter(left & (F.col("fold") == 2)), rule) if rule else rule
         if not rule:
             break
-        n, p = rows.filter(left & _conjunction(rule)).agg(F.count(F.lit(1)), F.sum("bad")).first()
+        rule, n, p = _prune(rows.filter(left), rule)
         if n < params.min_covered or p < params.min_precision * n:
             break
         rules.append(rule)
@@ -144,6 +144,10 @@ def learn(labelled: DataFrame, params: ListParams = ListParams()) -> DecisionLis
     return DecisionList(rules)
 
 
+def _bin(feature: str, cuts: list[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(feature) >= c)) if cuts else F.lit(0)
+
+
 def _grow(rows: DataFrame, cuts: dict[str, list[float]], params: ListParams) -> list:
     rule: list[tuple[str, str, float]] = []
     for _ in range(params.max_conditions):
@@ -168,12 +172,15 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], params: ListParams) ->
     return rule
 
 
-def _prune(rows: DataFrame, rule: list) -> list:
-    """Drop final conditions while (p - n) / (p + n) on the held-out rows does not fall."""
+def _prune(rows: DataFrame, rule: list) -> tuple[list, int, int]:
+    """The rule without final conditions, as long as (p - n) / (p + n) on the held-out rows does not fall; all rows it covers, and the bad ones."""
     sizes = range(1, len(rule) + 1)
-    got = rows.agg(*(F.struct(F.count_if(_conjunction(rule[:k])), F.sum(F.when(_conjunction(rule[:k]), F.col("bad")).otherwise(0))).alias(f"c{k}") for k in sizes)).first()
-    worth = {k: (2 * (got[f"c{k}"][1] or 0) - got[f"c{k}"][0]) / got[f"c{k}"][0] if got[f"c{k}"][0] else -1.0 for k in sizes}
-    return rule[: max(sizes, key=lambda k: (worth[k], -k))]
+    count = lambda c: F.struct(F.count_if(c).alias("n"), F.sum(F.when(c, F.col("bad")).otherwise(0)).alias("p"))
+    held = F.col("fold") == 2
+    got = rows.agg(*(x for k in sizes for x in (count(held & _conjunction(rule[:k])).alias(f"h{k}"), count(_conjunction(rule[:k])).alias(f"a{k}")))).first()
+    worth = {k: (2 * got[f"h{k}"].p - got[f"h{k}"].n) / got[f"h{k}"].n if got[f"h{k}"].n else -1.0 for k in sizes}
+    best = max(sizes, key=lambda k: (worth[k], -k))
+    return rule[:best], got[f"a{best}"].n, got[f"a{best}"].p or 0
 
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame) -> DataFrame:
