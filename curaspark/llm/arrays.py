@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 P, Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses
 U = np.uint64
 _POWERS = {"p": np.ones(1, U), "i": np.ones(1, U)}

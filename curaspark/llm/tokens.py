@@ -152,9 +152,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+NONE = 1 << 60
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    ranks: dict[tuple[bytes, bytes], int]
+    """Tokens by number, bytes first. ``ranks``: rank of the merge of two numbers, ``made``: the number that a merge makes."""
+
+    ranks: dict[int, int]
+    made: list[int]
     specials: tuple[bytes, ...]
 
     @staticmethod
@@ -163,51 +169,59 @@ class Vocabulary:
             spec = json.load(f)
         back = {v: k for k, v in byte_letters().items()}
         raw = lambda s: bytes(back[c] for c in s)
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        return Vocabulary({(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}, tuple(x["content"].encode() for x in spec.get("added_tokens", [])))
+        number = {bytes([b]): b for b in range(256)}
+        ranks, made = {}, []
+        for m in spec["model"]["merges"]:
+            x, y = map(raw, m.split(" ") if isinstance(m, str) else m)
+            ranks[number[x] << 20 | number[y]] = len(made)
+            made.append(number.setdefault(x + y, len(number)))
+        return Vocabulary(ranks, made, tuple(x["content"].encode() for x in spec.get("added_tokens", [])))
 
     def weight(self, piece: bytes) -> int:
-        """Tokens that the merges leave of a piece."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        """Tokens that the merges leave of a piece: the pair of the least rank first, all its places from the left."""
+        parts = list(piece)
         if len(parts) > 200:
             return self._long(parts)
-        ranks, none = self.ranks, 1 << 60
+        get, made = self.ranks.get, self.made
         while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, none))
-            if best not in ranks:
+            rank = [get(x << 20 | y, NONE) for x, y in zip(parts, parts[1:], strict=False)]
+            best = min(rank)
+            if best == NONE:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
+            new = made[best]
+            if rank.count(best) == 1:
+                at = rank.index(best)
+                parts[at : at + 2] = [new]
+                continue
+            out, at = [], 0
+            while at < len(parts):
+                hit = at < len(rank) and rank[at] == best
+                out.append(new if hit else parts[at])
+                at += 2 if hit else 1
             parts = out
         return len(parts)
 
-    def _long(self, parts: list[bytes]) -> int:
+    def _long(self, parts: list[int]) -> int:
         """The same with a heap: a piece may be a whole text without spaces."""
         n = len(parts)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        ranks = self.ranks
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        get, made = self.ranks.get, self.made
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << 20 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         count = n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else n
             if not alive[i] or parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
+            parts[i], alive[j], after[i] = made[rank], False, after[j]
             count -= 1
             if after[i] < n:
                 before[after[i]] = i
-                if (r := ranks.get((parts[i], parts[after[i]]))) is not None:
+                if (r := get(parts[i] << 20 | parts[after[i]])) is not None:
                     heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
             k = before[i]
-            if k >= 0 and (r := ranks.get((parts[k], parts[i]))) is not None:
+            if k >= 0 and (r := get(parts[k] << 20 | parts[i])) is not None:
                 heapq.heappush(heap, (r, k, parts[k], parts[i]))
         return count
 
