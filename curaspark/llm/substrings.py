@@ -105,7 +105,7 @@ def anchors(data: np.ndarray, off: np.ndarray, params: RepeatParams) -> tuple[np
 
 def find_anchors(docs: DataFrame, params: RepeatParams) -> DataFrame:
     """did, h, seg, at, lo, hi of every anchor. ``docs``: did, text. A long text is read in pieces that overlap by a window."""
-    piece = 2 << 20
+    piece = 1 << 20
 
     def run(batches):
         for rows, data, off in arrays.slices(batches, "text", piece):
