@@ -125,13 +125,17 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, params: PiiParams = PiiP
     ``spans``: did, kind, s; ``docs``: the whole corpus, for the terms' document counts.
     """
     value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("s.hit"))).otherwise(F.lower("s.hit"))
-    near = spans.select("did", F.xxhash64("kind", value).alias("entity"), F.xxhash64("s.before", "s.after").alias("ctx"), F.explode(_context_terms(params)).alias("term"))
-    pairs = near.groupBy("entity", "term", "ctx", "did").agg(F.lit(1).alias("one")).groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together")).filter(F.col("contexts") >= params.min_contexts)
+    # a span of each different text, with the rows that hold it: all counts below are of rows
+    held = spans.groupBy("did", "kind", "s").agg(F.count(F.lit(1)).alias("rows")).select("did", "rows", "s", F.xxhash64("kind", value).alias("entity"))
+    near = held.select("did", "rows", "entity", F.xxhash64("s.before", "s.after").alias("ctx"), F.explode(_context_terms(params)).alias("term"))
+    contexts = near.groupBy("entity", "term", "ctx").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= params.min_contexts)
+    # a text counts once, whatever the number of its contexts
+    together = near.groupBy("entity", "term", "did").agg(F.max("rows").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"))
+    pairs = contexts.join(together, ["entity", "term"])
     pairs = shared.spill(pairs, "pairs")
     if pairs.isEmpty():  # nothing stands next to an entity often enough: the corpus counts would meet no term
         return pairs.select("term", F.lit(0.0).alias("given"), F.lit(0.0).alias("score"))
-    entities = spans.select("did", F.xxhash64("kind", value).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = held.groupBy("entity", "did").agg(F.max("rows").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_entity"))
     term = F.explode(F.array_distinct(F.regexp_extract_all(F.translate("_t", shared.UPPER, shared.LOWER), F.lit(shared.ALNUM_WORD), F.lit(0)))).alias("term")
     wanted = pairs.select("term").distinct()
     counts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).select(term).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")

@@ -94,6 +94,15 @@ def test_terms_that_disclose_an_entity(frame):
     assert "zanzibar" not in clean[0] and "bob@corp.com" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[5][1]
 
 
+def test_terms_of_copied_texts(frame):
+    texts = [f"filler words stand here codename zanzibar bob@corp.com and some{'abcde'[i]} text; later zanzibar bob@corp.com ends" for i in range(5)]
+    rows = [(100 * i + j, t) for i, t in enumerate(texts) for j in range(20)] + [(1000 + i, f"plain text number{i} with codename but nothing else to say") for i in range(400)]
+    found = pii.detect(frame(rows)).collect()
+    assert all(r.n_term >= 2 if r.doc_id < 1000 else r.n_term == 0 for r in found)
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(rows)).collect()}
+    assert all("zanzibar" not in clean[100 * i + j] for i in range(5) for j in range(20)) and clean[1000] == rows[100][1]
+
+
 def test_sanitise_keeps_rows_and_columns(frame):
     df = frame(EDGE)
     out = pii.sanitise(df)
