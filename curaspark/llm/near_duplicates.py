@@ -222,7 +222,7 @@ def _cross(cells: DataFrame, params: NearParams) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key) of every row, and (node, component) of the linked keys."""
+    """(doc_id, th, n_shingles, key) of every row, and (node, component) of the linked keys."""
     signed = shared.spill(signatures(docs, params), "signed")
     # one row of each class stands for it; copies go no further
     one = F.min(F.struct("doc_id", "th", "n_shingles"))
@@ -265,12 +265,17 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
     extra = shared.spill(_cross(outer.unionByName(inner).select(cell, "outer", "key", "component", "g"), params), "confirmed")
     if not extra.isEmpty():
         comp = shared.spill(components.components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
-    return signed.select("doc_id", "n_shingles", "key"), comp
+    return signed.select("doc_id", "th", "n_shingles", "key"), comp
+
+
+def _with_class(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with _class: the component of their key, null for an empty set."""
+    return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("_class", F.coalesce("component", "key"))
 
 
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """rows with the component as its least doc_id."""
-    named = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("_class", F.coalesce("component", "key"))
+    named = _with_class(rows, comp)
     # written first, so that the join's partitions are its own and a hot class can be split
     least = shared.spill(named.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least")), "least")
     return named.join(least, "_class", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
@@ -283,8 +288,23 @@ def judge(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:  # n
 
 
 def keep_one(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:  # noqa: B008
-    """One row of each component, columns unchanged: that of its least doc_id (of rows that share it, one)."""
+    """One row of each component, columns unchanged: that of its least doc_id (null is last), then text hash.
+
+    Of rows with the same doc_id and text, with or without words, one stays: the least as JSON.
+    """
     rows, comp = classes_of(docs, params)
-    goes = _with_component(rows, comp).filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(goes, "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    named = _with_class(rows, comp)
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col("th").alias("t")))
+    firsts = shared.spill(named.filter("_class is not null").groupBy("_class").agg(least.alias("r")).select("_class", "r.d", "r.t"), "least")
+    stays = F.col("_class").isNull() | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    fate = named.join(firsts, "_class", "left").groupBy("doc_id", "th").agg(F.bool_and(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = shared.spill(fate.filter("n > 1 or not stays").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "stays"), "odd")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (text == F.col("_t"))
+    left = docs.join(odd.select("_d", "_t"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    twice = odd.filter("stays").select("_d", "_t")
+    if twice.isEmpty():
+        return left
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.join(twice, same).select("_d", "_t", row.alias("r")).groupBy("_d", "_t").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    return left.unionByName(again.select("r.*"))

@@ -222,6 +222,14 @@ def test_keep_one_keeps_columns_and_odd_rows(frame):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 3, 4, 5, None, 7, 8, 9]))
 
 
+def test_keep_one_of_repeated_and_null_ids(frame):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (5, c), (None, c), (3, d), (4, d), (4, a), (4, "quite another text that is like none of the rest"), (6, ""), (6, ""), (7, None)]
+    got = near_duplicates.keep_one(frame(rows)).collect()
+    want = [(1, a), (None, b), (5, c), (3, d), (4, rows[11][1]), (6, ""), (7, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, want))
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(0, k) for k in range(200, 300)] + [(7, 7)]
