@@ -120,92 +120,119 @@ def find_anchors(docs: DataFrame, params: RepeatParams) -> DataFrame:
     return docs.mapInArrow(run, StructType([docs.schema["did"], *StructType.fromDDL("h bigint, seg bigint, at int, lo int, hi int").fields]))
 
 
-def repeated_windows(group: np.ndarray, before: np.ndarray, parts: list[bytes], params: RepeatParams) -> list[tuple[int, int, int]]:
-    """(segment, first byte, end) of the runs of repeated windows, by columns.
+class Columns:
+    """Segments of whole anchors, aligned at them: symbols in a temporary file, numbers in memory.
 
-    ``group``: number of each segment's anchor, ascending; ``before``: bytes before the anchor in the segment.
-    Column k holds the symbol k - windows + 1 bytes after the anchor.
+    Column k holds the symbol k - windows + 1 bytes after the anchor. Rows become columns a block at a time, and
+    lie in the file block by block.
     """
-    n, zero = len(parts), params.windows - 1
-    width = zero + params.length
-    start = zero - before
-    end = start + np.array([len(x) for x in parts])
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as marks:
-        symbols = np.memmap(columns, np.uint8, "w+", shape=(width, n))
-        step = max(1, (8 << 20) // width)
-        for lo in range(0, n, step):  # rows to columns, a block of segments at a time
-            block = np.zeros((min(step, n - lo), width), np.uint8)
-            for i, x in enumerate(parts[lo : lo + step]):
-                block[i, start[lo + i] : end[lo + i]] = np.frombuffer(x, np.uint8)
-            symbols[:, lo : lo + step] = block.T
-        found = np.memmap(marks, bool, "w+", shape=(params.windows, n))
-        order = np.arange(n)  # segments sorted by (anchor, what was read backwards)
-        since = np.zeros(n, np.int64)  # column from which a segment equals its predecessor in that order
-        edge = np.ones(n, bool)  # first of its anchor; anchors keep their places
-        edge[1:] = group[1:] != group[:-1]
-        base = np.cumsum(edge).astype(np.int64) * 256
-        for k in range(width):
-            symbol = symbols[k][order]
-            # one stable sort inside each anchor; the common start of new neighbours is the latest of those between them
-            new = np.argsort(base + symbol, kind="stable")
-            place = new  # old place of each new place
-            same = np.zeros(n, bool)
-            same[1:] = ~edge[1:] & (symbol[place[1:]] == symbol[place[:-1]])
-            fresh = np.full(n, k + 1, np.int64)
-            near = same.copy()
-            near[1:] &= place[1:] == place[:-1] + 1
-            fresh[near] = since[place[near]]
-            far = np.flatnonzero(same & ~near)
-            if len(far):
-                cuts = np.stack([place[far - 1] + 1, place[far] + 1], axis=1).ravel()
-                fresh[far] = np.maximum.reduceat(np.append(since, 0), cuts)[::2]
-            order, since = order[place], fresh
-            # nothing outside a segment equals anything
-            out = (k < start[order]) | (k >= end[order])
-            broken = out.copy()
-            broken[1:] |= out[:-1]
-            since[broken | edge] = k + 1
-            w = k - params.length + 1
-            if w >= 0:
-                equal = since <= w
-                hit = equal.copy()
-                hit[:-1] |= equal[1:]
-                found[w, order[hit]] = True
-        out = []
-        for lo in range(0, n, step):
-            block = np.array(found[:, lo : lo + step]).T
-            wide = np.zeros((block.shape[0], block.shape[1] + 2), np.int8)
-            wide[:, 1:-1] = block
-            d = np.diff(wide, axis=1)
-            i, a = np.nonzero(d == 1)
-            _, b = np.nonzero(d == -1)
-            out += [(int(lo + x), int(y - start[lo + x]), int(z - 1 + params.length - start[lo + x])) for x, y, z in zip(i, a, b, strict=True)]
-        del symbols, found
-    return out
+
+    def __init__(self, params: RepeatParams):
+        self.params, self.zero = params, params.windows - 1
+        self.width = self.zero + params.length
+        self.step = max(1, (8 << 20) // self.width)
+        self.file = tempfile.TemporaryFile()
+        self.block = np.zeros((self.step, self.width), np.uint8)
+        self.blocks = self.fill = self.n = 0
+        self.numbers: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, h: np.ndarray, seg: np.ndarray, before: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
+        """Segments in order of h; ``before``: bytes before the anchor in the segment."""
+        start = (self.zero - before).astype(np.int32)
+        end = start + np.diff(off).astype(np.int32)
+        for i in range(len(h)):
+            if self.fill == self.step:
+                self.file.write(self.block.T.tobytes())
+                self.block[:] = 0
+                self.blocks, self.fill = self.blocks + 1, 0
+            self.block[self.fill, start[i] : end[i]] = data[off[i] : off[i + 1]]
+            self.fill += 1
+        self.n += len(h)
+        self.numbers.append((np.array(h), np.array(seg), start, end))
+
+    def _column(self, k: int) -> np.ndarray:
+        out = np.empty(self.n, np.uint8)
+        for b in range(self.blocks):
+            self.file.seek((b * self.width + k) * self.step)
+            self.file.readinto(out[b * self.step : (b + 1) * self.step])
+        out[self.blocks * self.step :] = self.block[: self.fill, k]
+        return out
+
+    def runs(self):
+        """Record batches of h, seg, a (first byte), b (end) of the runs of repeated windows, by columns."""
+        n, length, windows = self.n, self.params.length, self.params.windows
+        h, seg, start, end = (np.concatenate(x) for x in zip(*self.numbers, strict=True))
+        self.numbers = []
+        with self.file, tempfile.TemporaryFile() as marks:
+            order = np.arange(n, dtype=np.int32)  # segments sorted by (anchor, what was read backwards)
+            since = np.zeros(n, np.int32)  # column from which a segment equals its predecessor in that order
+            edge = np.ones(n, bool)  # first of its anchor; anchors keep their places
+            edge[1:] = h[1:] != h[:-1]
+            groups = int(edge.sum())
+            base = ((np.cumsum(edge) - 1) * 256).astype(np.uint16 if groups <= 256 else np.int32 if groups < 1 << 23 else np.int64)
+            for k in range(self.width):
+                symbol = self._column(k)[order]
+                # one stable sort inside each anchor; the common start of new neighbours is the latest of those between them
+                place = np.argsort(base + symbol, kind="stable")  # old place of each new place
+                same = np.zeros(n, bool)
+                same[1:] = ~edge[1:] & (symbol[place[1:]] == symbol[place[:-1]])
+                fresh = np.full(n, k + 1, np.int32)
+                near = same.copy()
+                near[1:] &= place[1:] == place[:-1] + 1
+                fresh[near] = since[place[near]]
+                far = np.flatnonzero(same & ~near)
+                if len(far):
+                    cuts = np.stack([place[far - 1] + 1, place[far] + 1], axis=1).ravel()
+                    fresh[far] = np.maximum.reduceat(np.append(since, np.int32(0)), cuts)[::2]
+                order, since = order[place], fresh
+                # nothing outside a segment equals anything
+                out = (k < start[order]) | (k >= end[order])
+                broken = out.copy()
+                broken[1:] |= out[:-1]
+                since[broken | edge] = k + 1
+                w = k - length + 1
+                if w >= 0:
+                    equal = since <= w
+                    hit = equal.copy()
+                    hit[:-1] |= equal[1:]
+                    found = np.zeros(n, bool)
+                    found[order[hit]] = True
+                    marks.write(found.tobytes())
+            for lo in range(0, n, self.step):
+                hi = min(n, lo + self.step)
+                wide = np.zeros((hi - lo, windows + 2), np.int8)
+                for w in range(windows):
+                    marks.seek(w * n + lo)
+                    wide[:, w + 1] = np.frombuffer(marks.read(hi - lo), np.int8)
+                d = np.diff(wide, axis=1)
+                i, a = np.nonzero(d == 1)
+                _, b = np.nonzero(d == -1)
+                i += lo
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(seg[i]), pa.array((a - start[i]).astype(np.int32)), pa.array((b - 1 + length - start[i]).astype(np.int32))], ["h", "seg", "a", "b"])
 
 
 def _columns(segments: DataFrame, params: RepeatParams) -> DataFrame:
     """h, seg, a, b: the repeated runs of segments (h, seg, before, bytes), which lie together by h, in order."""
 
     def run(batches):
-        held: list[tuple[int, int, int, bytes]] = []
-
-        def flush(rows):
-            h = np.array([r[0] for r in rows], np.int64)
-            got = repeated_windows(np.unique(h, return_inverse=True)[1] if len(h) else h, np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], params)
-            i = [x[0] for x in got]
-            return pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x in i], pa.int64()), pa.array([rows[x][1] for x in i], pa.int64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.int32())], ["h", "seg", "a", "b"])
-
+        held, last = Columns(params), None
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "before", "bytes")), strict=True)
-            if len(held) >= params.batch and held[0][0] != held[-1][0]:
-                cut = len(held)
-                while held[cut - 1][0] == held[-1][0]:
-                    cut -= 1
-                yield flush(held[:cut])
-                held = held[cut:]
-        if held:
-            yield flush(held)
+            if not batch.num_rows:
+                continue
+            h, seg, before = (batch.column(c).to_numpy() for c in ("h", "seg", "before"))
+            parts = batch.column("bytes").cast(pa.binary())
+            off = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
+            data = np.frombuffer(parts.buffers()[2], np.uint8)
+            lo = 0
+            for i in np.flatnonzero(np.append(last is not None and last != h[0], h[1:] != h[:-1])):
+                if held.n + i - lo >= params.batch:
+                    held.add(h[lo:i], seg[lo:i], before[lo:i], data, off[lo : i + 1])
+                    yield from held.runs()
+                    held, lo = Columns(params), i
+            held.add(h[lo:], seg[lo:], before[lo:], data, off[lo:])
+            last = h[-1]
+        if held.n:
+            yield from held.runs()
 
     return segments.mapInArrow(run, "h bigint, seg bigint, a int, b int")
 

@@ -323,6 +323,33 @@ def test_repeats_of_odd_texts(frame):
     assert whole[104].kept == b"" and whole[106].n_removed == 0
 
 
+def test_segments_of_one_anchor_are_not_held_in_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, size, params = 30_000, 5_000, substrings.RepeatParams()
+
+    class Segments:
+        def mapInArrow(self, run, schema):
+            def batches():
+                rng = np.random.default_rng(3)
+                for lo in range(0, n, size):
+                    # the anchor and all after it are common, but only every other segment has a whole common window
+                    part = [bytes(rng.integers(97, 123, 349, np.uint8)) + b"z" * (400 if i % 2 else 360) for i in range(lo, lo + size)]
+                    yield pa.RecordBatch.from_arrays([pa.array([7] * size, pa.int64()), pa.array(range(lo, lo + size), pa.int64()), pa.array([349] * size, pa.int32()), pa.array(part, pa.binary())], ["h", "seg", "before", "bytes"])
+
+            tracemalloc.start()
+            got = pa.Table.from_batches(list(run(batches()))).to_pydict()
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return got, peak
+
+    got, peak = substrings._columns(Segments(), params)
+    assert sorted(zip(got["seg"], got["b"], strict=True)) == [(i, 749) for i in range(1, n, 2)] and set(got["h"]) == {7}
+    assert peak < 40 << 20  # the segments are 22 MB, two blocks 16 MB; held as objects they took more
+
+
 # 8
 
 
