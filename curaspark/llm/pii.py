@@ -38,7 +38,7 @@ PATTERNS = {
 #: A cheap test that any text with a match passes.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
-SPAN = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string,last:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def base_spans(text: Column, kind: str, context: int) -> Column:
             gap, hit, after = F.get(z, i)["gap"], F.get(z, i)["hit"], F.get(z, i + 1)["gap"]
             lo = acc["at"] + F.length(gap)
             hi = lo + F.length(hit)
-            one = F.struct(lo.alias("start"), hi.alias("end"), hit.alias("hit"), F.right(gap, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after"))
+            one = F.struct(lo.alias("start"), hi.alias("end"), hit.alias("hit"), F.right(gap, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after"), (i + 2 == F.size(z)).alias("last"))
             return F.struct(hi.alias("at"), F.when(_valid(kind, hit), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(z) - 2), start, step)["out"]
@@ -97,9 +97,9 @@ def base_spans(text: Column, kind: str, context: int) -> Column:
 
 
 def with_base(docs: DataFrame, keep: list, params: PiiParams) -> DataFrame:
-    """``keep`` columns, _t and one array of spans per kind (_email ...)."""
+    """``keep`` columns, _t and one array of spans per kind (_email ...); contexts have one character more, which tells whether they are cut."""
     t = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    return t.select("*", *(base_spans(F.col("_t"), k, params.context_chars).alias(f"_{k}") for k in KINDS))
+    return t.select("*", *(base_spans(F.col("_t"), k, params.context_chars + 1).alias(f"_{k}") for k in KINDS))
 
 
 def _tagged(kind: str):
@@ -112,10 +112,14 @@ def _placed(kind: str):
 
 def _context_terms(params: PiiParams) -> Column:
     clean = lambda x: F.regexp_extract_all(F.translate(F.regexp_replace(x, r"\S*[@+0-9]\S*", " "), shared.UPPER, shared.LOWER), F.lit(shared.ALNUM_WORD), F.lit(0))
-    # the outer word may be cut by the width of the context: it is left out
-    before = shared.let(clean(F.regexp_replace("s.before", r"^\S*", "")), lambda w: F.slice(w, F.greatest(F.size(w) - params.context_words + 1, F.lit(1)), F.lit(params.context_words)))
+    # the outer word goes if the width of the context cuts it, and what adjoins another match, as it is part of a word
+    part = lambda x, pattern: F.regexp_replace(F.translate(x, shared.UPPER, shared.LOWER), pattern, "")
+    cut = lambda x: F.length(x) > params.context_chars
+    left = F.when(cut("s.before"), F.regexp_replace("s.before", r"^\S*", "")).when(F.length("s.before") < F.col("s.start"), part("s.before", "^" + shared.ALNUM_WORD)).otherwise(F.col("s.before"))
+    right = F.when(cut("s.after"), F.regexp_replace("s.after", r"\S*$", "")).when(~F.col("s.last"), part("s.after", shared.ALNUM_WORD + "$")).otherwise(F.col("s.after"))
+    before = shared.let(clean(left), lambda w: F.slice(w, F.greatest(F.size(w) - params.context_words + 1, F.lit(1)), F.lit(params.context_words)))
     before = F.when(F.length(F.trim("s.before")) > 0, before).otherwise(F.array().cast("array<string>"))
-    after = F.slice(clean(F.regexp_replace("s.after", r"\S*$", "")), 1, params.context_words)
+    after = F.slice(clean(right), 1, params.context_words)
     return F.filter(F.array_distinct(F.concat(before, after)), lambda x: F.length(x) >= params.min_term)
 
 
@@ -127,7 +131,7 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, params: PiiParams = PiiP
     value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("s.hit"))).otherwise(F.lower("s.hit"))
     # a span of each different text, with the rows that hold it: all counts below are of rows
     held = spans.groupBy("did", "kind", "s").agg(F.count(F.lit(1)).alias("rows")).select("did", "rows", "s", F.xxhash64("kind", value).alias("entity"))
-    near = held.select("did", "rows", "entity", F.xxhash64("s.before", "s.after").alias("ctx"), F.explode(_context_terms(params)).alias("term"))
+    near = held.select("did", "rows", "entity", F.xxhash64(F.right(F.col("s.before"), F.lit(params.context_chars)), F.left(F.col("s.after"), F.lit(params.context_chars))).alias("ctx"), F.explode(_context_terms(params)).alias("term"))
     contexts = near.groupBy("entity", "term", "ctx").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= params.min_contexts)
     # a text counts once, whatever the number of its contexts
     together = near.groupBy("entity", "term", "did").agg(F.max("rows").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"))

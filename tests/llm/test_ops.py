@@ -103,6 +103,16 @@ def test_terms_of_copied_texts(frame):
     assert all("zanzibar" not in clean[100 * i + j] for i in range(5) for j in range(20)) and clean[1000] == rows[100][1]
 
 
+def test_terms_at_the_ends_of_a_text(frame):
+    some = ["apple", "berry", "cherry", "damson", "elder"]
+    rows = [(i, f"Zanzibar bob@corp.com wrote {x}") for i, x in enumerate(some)] + [(10 + i, f"{x} told ann@corp.com Quorbidle") for i, x in enumerate(some)]
+    rows += [(20 + i, f"x{i}@corp.com,Wexford;joe@corp.com has the {x} " + "and nothing else of any length to speak of here") for i, x in enumerate(some)]
+    rows += [(100 + i, f"plain text number{i} wrote told with nothing else to say") for i in range(200)]
+    found = {r.doc_id: r for r in pii.detect(frame(rows)).collect()}
+    assert all("term:0:8" in found[i].spans for i in range(5)) and all(f"term:{len(t) - 9}:{len(t)}" in found[i].spans for i, t in rows[5:10])
+    assert all("term:12:19" in found[20 + i].spans for i in range(5)) and all(found[100 + i].n_term == 0 for i in range(200))
+
+
 def test_sanitise_keeps_rows_and_columns(frame):
     df = frame(EDGE)
     out = pii.sanitise(df)
