@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import FatalPipelineError
+from ..session import map_arrow
 
 LEAST_NORM = 1e-12
 
@@ -61,7 +62,7 @@ def map_batches(df: DataFrame, added: str, kernel: Callable[[pa.RecordBatch], li
                 made = [x if isinstance(x, pa.Array) else pa.array(x, arrow[t]) for x, t in zip(kernel(batch), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def list_column(rows: np.ndarray) -> pa.Array:

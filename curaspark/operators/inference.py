@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..errors import CurationError, RowError
+from ..session import map_arrow
 
 
 def adaptive(items: list, run: Callable[[list], Iterable], retries: int, depth: int = 0) -> list[tuple[Any, Exception | None, int]]:
@@ -69,4 +70,4 @@ def apply_model(rows: DataFrame, keep: list[str], factory: Callable[[], Any], ca
             if model is not None and hasattr(model, "close"):
                 model.close()
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArtifactError, ConfigurationError
 from ..schemas import CLUSTER_SUMMARY, FAILURES, INPUT_MANIFEST, INSTANCES, conform
-from ..session import ship_package
+from ..session import map_arrow, ship_package
 from ..sources.store import LocalStore, file_sha256
 
 TABLES = {"input_manifest.parquet": INPUT_MANIFEST, "instances.parquet": INSTANCES, "cluster_summary.parquet": CLUSTER_SUMMARY, "failures.parquet": FAILURES}
@@ -171,7 +171,7 @@ def validate(spark: SparkSession, folder: str) -> list[str]:
             names = b.column("name").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([file_sha256(f"{top}/{n}") for n in names], pa.string())], ["name", "sha256"])
 
-    actual = files.mapInArrow(digest, "name string, sha256 string")
+    actual = map_arrow(files, digest, "name string, sha256 string")
     found = artifact_errors(spark.createDataFrame(list(listed.items()), "name string, expected string"), actual)
     return out + [f"{r.name}: {r.error}" for r in found.orderBy("name").collect()]
 

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}  # tables written in between, by application
 
 
 #: Bytes of an Arrow batch: a task holds a few of them, in the JVM and in Python.
@@ -33,10 +34,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` whose workers can import this package, however the session was made."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only in local mode, where it may be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="curaspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -49,15 +58,34 @@ def spill(df: DataFrame, label: str) -> DataFrame:
     done once even if several consumers follow.
     """
     path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}-{label}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this application has written in between and not deleted, in order."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``written``, whose readers are done."""
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+        own.remove(path)
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/curaspark/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete what this application has written in between; results that were not stored elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))
+    _WRITTEN.pop(spark.sparkContext.applicationId, None)

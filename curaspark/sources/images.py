@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, RowError
 from ..functions.text import eligible, normalize_path
+from ..session import map_arrow, ship_package
 
 DECODED = "byte_size bigint, image_sha256 string, source_mode string, image_width int, image_height int, image_status string, error_code string, error_message string, error_stage string, exception_type string"
 
@@ -102,7 +103,7 @@ def scan(paths: DataFrame, read: Callable[[str], bytes], decode: Callable[[bytes
             made = list(zip(*map(one, batch.column("image_path").to_pylist()), strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("image_path"), *(pa.array(x, t) for x, t in zip(made, types, strict=True))], ["image_path", *names])
 
-    return paths.select("image_path").mapInArrow(run, "image_path string, " + DECODED)
+    return map_arrow(paths.select("image_path"), run, "image_path string, " + DECODED)
 
 
 def changed(first: DataFrame, second: DataFrame) -> DataFrame:
