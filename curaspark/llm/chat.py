@@ -14,7 +14,8 @@ formatted string that hold assistant text.
 Edge cases: null role or text: empty; rows of a conversation are ordered by
 (turn, role, text), nulls first, and repeated rows all count; a null conv_id is
 one conversation; an unknown part kind is written as a document placeholder;
-extra columns are ignored.
+an empty table gives an empty result; a conversation of very many turns or very
+long texts costs about linear time; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 START, END = "<|turn|>", "<|end|>\n"
 #: Tokens that one unit of a part stands for: an image tile, a second of audio, a document page.
 EXPANSION = {"image": 256, "audio": 25, "document": 512}
@@ -67,19 +70,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     each = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), body.alias("body"), media.alias("media")).alias("t"))
     # the formatted conversation is one value, so its turns have to meet; nothing else is gathered with them
     whole = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    starts = shared.running(F.col("ts"), F.lit(0), lambda at, t: at + F.length(t["head"]) + F.length(t["body"]) + len(END))
 
-    def step(acc, t):
-        lo = acc["at"] + F.length(t["head"])
-        hi = lo + F.length(t["body"])
-        spans = F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct(lo.alias("start"), hi.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((hi + len(END)).alias("at"), spans.alias("spans"))
+    def span(at, t):
+        lo = at + F.length(t["head"])
+        return F.struct((t["role"] == "assistant").alias("on"), lo.alias("start"), (lo + F.length(t["body"])).alias("end"))
 
+    spans = F.filter(F.zip_with(starts, "ts", span), lambda s: s["on"])
     attachments = F.flatten(F.transform("ts", lambda t: t["media"]))
     return whole.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("ts", start, step)["spans"].alias("loss_spans"),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("n_expanded"),
     )
@@ -89,7 +91,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (array of role, text) and loss_texts, from the formatted string and the mask alone."""
     pieces = F.filter(F.split("formatted", r"<\|turn\|>", -1), lambda x: x != "")
     cut = lambda x: F.struct(unescape(F.replace(F.substring_index(x, "\n", 1), F.lit("\\k"), F.lit("\n"))).alias("role"), unescape(F.substr(x, F.locate("\n", x) + F.lit(1), F.length(x) - F.locate("\n", x) - F.lit(len(END)))).alias("text"))
-    masked = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    masked = shared.let(shared.cut_blocks(F.col("formatted")), lambda b: F.transform("loss_spans", lambda s: unescape(shared.cut(b, s["start"], s["end"]))))
     return formatted.select("*", F.transform(pieces, cut).alias("turns"), masked.alias("loss_texts"))
 
 

@@ -120,7 +120,7 @@ def _count_vocabulary(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["k", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select("text").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in shared.map_arrow(docs.select("text"), count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.k] = r.n
     return out
 
@@ -153,7 +153,7 @@ def _scan(docs: DataFrame, index: Index | None, columns: list[str]) -> DataFrame
     from pyspark.sql.types import StructType
 
     full = StructType([*schema.fields, *StructType.fromDDL(made).fields])
-    return docs.mapInArrow(scan, full)
+    return shared.map_arrow(docs, scan, full)
 
 
 def find(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:  # noqa: B008

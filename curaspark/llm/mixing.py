@@ -9,11 +9,14 @@ the source's target is reached.
 
 Running sums and ranks are taken in two steps (inside hash buckets or chunks of
 the schedule, then over the bucket totals), so that a source with a third of
-all rows is spread over all tasks.
+all rows is spread over all tasks.  A slot finds its source by a join on the
+cell of the unit line that holds its point; the sources never leave the tables.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order; repeated rows are separate documents; an
-empty table gives an empty result; a source without words has target 0.
+empty table gives an empty result; a source without words has target 0; a
+text of any length is cut into as many blocks as it fills; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ class MixParams:
     most_repeats: int = 2
     block: int = 512  # tokens in a block
     chunk: int = 4096  # slots ranked together
+    cells: int = 4096  # parts of the unit line by which slots find their sources
     bucket_digits: int = 3  # hex digits of the shuffling hash that make a bucket
 
 
@@ -64,10 +68,11 @@ def schedule(plan: DataFrame, n_slots: int, params: MixParams = MixParams()) ->
     """sid, rank (from 0 in each source) and slot; every slot of the schedule. ``plan``: the targets, one row per source."""
     point = (F.col("slot") + 0.5) * GOLDEN
     slots = plan.sparkSession.range(n_slots).select(F.col("id").alias("slot")).withColumn("u", point - F.floor(point))
-    # the sources' bounds as one array: a slot finds its source without a join
-    bounds = [r.hi for r in sorted(plan.select("sid", "hi").collect(), key=lambda r: r.sid)]
-    pick = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(1), lambda a, b: a + F.when(F.col("u") >= b, 1).otherwise(0))
-    slots = slots.withColumn("sid", F.least(pick, F.lit(len(bounds)))).withColumn("chunk", F.floor(F.col("slot") / params.chunk))
+    # the unit line in cells: an interval [lo, hi) lies in a few, a point in one, and they meet by the cell's number
+    last = F.lit(params.cells - 1)
+    cell = lambda x: F.least(F.floor(F.col(x) * params.cells), last)
+    spans = plan.filter("lo < hi").select("sid", "lo", F.when(F.col("hi") < 1, F.col("hi")).otherwise(2.0).alias("hi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
+    slots = slots.withColumn("cell", cell("u")).join(spans, "cell").filter("lo <= u and u < hi").select("slot", "sid").withColumn("chunk", F.floor(F.col("slot") / params.chunk))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = slots.withColumn("inside", inside)
     per = slots.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -82,8 +87,16 @@ def schedule(plan: DataFrame, n_slots: int, params: MixParams = MixParams()) ->
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:  # noqa: B008
-    """doc_id, size, source_size, target and taken of every document."""
-    return take(docs.select("doc_id", "source", shared.n_words(F.col("text")).alias("size")), params).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target and taken of every document, and its places in the schedule: n_slots, first_slot and a digest of all of them.
+
+    The digest is of ``slot:first word:words``, comma-joined by slot (then first word): what a trainer reads in which order.
+    """
+    got = take(docs.select("doc_id", "source", shared.n_words(F.col("text")).alias("size")), params)
+    places = F.array_join(F.transform("slots", lambda s: F.concat_ws(":", s["slot"].cast("string"), s["first"].cast("string"), s["n"].cast("string"))), ",")
+    return got.select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.coalesce(F.when(F.col("slots").isNotNull(), F.size("slots")), F.lit(0)).cast("long").alias("n_slots"), F.get("slots", F.lit(0))["slot"].alias("first_slot"), shared.hex_sha(F.coalesce(places, F.lit(""))).alias("slots_sha256"),
+    )
 
 
 def take(rows: DataFrame, params: MixParams = MixParams()) -> DataFrame:  # noqa: B008
@@ -115,5 +128,7 @@ def take(rows: DataFrame, params: MixParams = MixParams()) -> DataFrame:  # noqa
     pieces = pieces.select("*", grid("a", "b"))
     cells = placed.filter("size > 0").select("rid", "sid", "lo", "hi", grid("lo", "hi"))
     got = cells.join(pieces, ["sid", "cell"]).withColumn("x", F.greatest("lo", "a", F.col("cell") * params.block)).withColumn("y", F.least("hi", "b", (F.col("cell") + 1) * params.block)).filter("x < y")
-    got = got.groupBy("rid").agg(F.sum(F.col("y") - F.col("x")).alias("taken"), F.array_sort(F.collect_list(F.struct("slot", (F.col("x") - F.col("lo")).alias("first"), (F.col("y") - F.col("x")).alias("n")))).alias("slots"))
+    # a piece that crosses cells is one again
+    got = got.groupBy("rid", "slot", "a").agg(F.min(F.col("x") - F.col("lo")).alias("first"), F.sum(F.col("y") - F.col("x")).alias("n"))
+    got = got.groupBy("rid").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("slot", "first", "n"))).alias("slots"))
     return placed.join(got, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))

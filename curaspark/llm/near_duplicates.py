@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, params: NearParams) -> DataFrame:
                 schema.names,
             )
 
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(run, schema)
+    return shared.map_arrow(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text"), run, schema)
 
 
 def plausible(pairs: DataFrame, params: NearParams) -> DataFrame:
@@ -136,7 +136,7 @@ def plausible(pairs: DataFrame, params: NearParams) -> DataFrame:
 
     low = params.percent / 100
     sized = pairs.filter((F.col("na") >= low * F.col("nb") - 1) & (F.col("nb") >= low * F.col("na") - 1))
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return shared.map_arrow(sized.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([rows.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return shared.map_arrow(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
 def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
@@ -169,7 +169,7 @@ def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
             g, goff = arrays.shingle_sets(data, off, params.shingle)
             yield pa.RecordBatch.from_arrays([rows.column("key"), arrays.list_array(pa.array(g.view(np.int64)), goff)], ["key", "g"])
 
-    return texts.select("key", "text").mapInArrow(run, "key bigint, g array<bigint>")
+    return shared.map_arrow(texts.select("key", "text"), run, "key bigint, g array<bigint>")
 
 
 def block_links(outer: tuple[np.ndarray, np.ndarray, np.ndarray], inner: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:

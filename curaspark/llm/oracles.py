@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import GOLDEN
 from .urls import GIVEN_RULES
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -9,7 +10,7 @@ _WS = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in GIVEN_RULES)
 
-# the schedule gives each source exactly its rounded target: what a document is taken follows from its place on the line
+# every slot of the schedule, its rank in its source, and the words of the source's line that it takes
 MIXING = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WS})) AS BIGINT) AS size, sha256('mix:' || doc_id) AS h FROM documents),
 t AS (SELECT source, sum(size) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY 1),
@@ -17,30 +18,38 @@ w AS (SELECT *, [3, 1, 2][(k - 1) % 3 + 1] AS w, 2 * s AS most FROM t),
 l AS (SELECT *, (1.5::DOUBLE * sum(s) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY most / w, source NULLS LAST) AS r FROM w
       WINDOW b AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 p AS (SELECT source, s, least(CAST(most AS DOUBLE), coalesce((SELECT first(level ORDER BY r) FROM l WHERE level * w <= most), 0) * w) AS target FROM l),
-c AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS lo FROM d)
-SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
-  CAST(greatest(0, least(lo + size, round(target)) - lo) + greatest(0, least(lo + size, round(target) - s) - lo) AS BIGINT) AS taken
-FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source"""
+q AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, sum(target) OVER () AS total, sum(target) OVER (ORDER BY source NULLS LAST) / nullif(sum(target) OVER (), 0) AS hi FROM p),
+e AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo FROM q),
+u AS (SELECT i AS slot, (i + 0.5::DOUBLE) * {GOLDEN} - floor((i + 0.5::DOUBLE) * {GOLDEN}) AS u FROM range(CAST((SELECT ceil(any_value(total) / 512) FROM e) AS BIGINT)) r(i)),
+early AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM u JOIN e ON lo <= u AND (u < hi OR hi >= 1)),
+have AS (SELECT e.sid, count(slot) AS have, ceil(round(any_value(target)) / 512) AS need FROM e LEFT JOIN early USING (sid) GROUP BY 1),
+late AS (SELECT sid, unnest(range(CAST(have AS BIGINT), CAST(need AS BIGINT))) AS rank FROM have WHERE have < need),
+slots AS (SELECT sid, rank, slot FROM early UNION ALL SELECT sid, rank, (SELECT count(*) FROM u) + row_number() OVER (ORDER BY sid, rank) - 1 FROM late),
+takes AS (SELECT sid, slot, s, rank * 512 AS a, least(rank * 512 + 512, round(target)) AS b FROM slots JOIN e USING (sid) WHERE rank * 512 < round(target)),
+pieces AS (SELECT sid, slot, greatest(a, k * s) - k * s AS a, least(b, k * s + s) - k * s AS b FROM takes, (VALUES (0), (1)) v(k) WHERE greatest(a, k * s) < least(b, k * s + s)),
+c AS (SELECT d.*, sid, s, target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS lo FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+got AS (SELECT doc_id, CAST(slot AS BIGINT) AS slot, CAST(greatest(a, lo) - lo AS BIGINT) AS first, CAST(least(b, lo + size) - greatest(a, lo) AS BIGINT) AS n FROM c JOIN pieces ON c.sid = pieces.sid AND a < lo + size AND lo < b),
+each AS (SELECT doc_id, sum(n) AS taken, count(*) AS k, min(slot) AS first_slot, string_agg(slot || ':' || first || ':' || n, ',' ORDER BY slot, first, n) AS x FROM got GROUP BY 1)
+SELECT c.doc_id, size, CAST(s AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(k, 0) AS n_slots, first_slot, sha256(coalesce(x, '')) AS slots_sha256
+FROM c LEFT JOIN each USING (doc_id)"""
 
-# frequent token sets of up to three tokens by enumeration
-URLS = f"""
-WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+# all token sets of the labelled pages by enumeration
+URLS = rf"""
+WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(html, '(?i)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z]+)', 1)) AS lang, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(verdict, h, q) AS (VALUES {_RULES}),
 fit AS (SELECT page_id, h || q AS rule, verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC) = 1),
 b AS (SELECT p.*, rule, verdict, list_filter(string_split(host, '.'), lambda x: x <> '') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS sg FROM p LEFT JOIN fit USING (page_id)),
-tok AS (SELECT page_id, verdict, list_sort(list_distinct(
+tok AS (SELECT page_id, lang, list_sort(list_distinct(
     CASE WHEN len(ls) > 1 THEN ['h:' || ls[-1], 'h:' || ls[-2] || '.' || ls[-1]] WHEN len(ls) = 1 THEN ['h:' || ls[1]] ELSE [] END
     || list_transform(list_filter(flatten(list_transform(CASE WHEN len(ls) > 2 THEN ls[1:len(ls) - 2] ELSE [] END, lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'w:' || x)
     || list_transform(sg, lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN 'd:' || x[1] ELSE 'p:' || x END))) AS ts FROM b),
-one AS (SELECT page_id, coalesce(verdict = 'block', false) AS blocked, unnest(ts) AS t FROM tok),
-sets AS (SELECT page_id, blocked, t AS a, '' AS b, '' AS c FROM one
-  UNION ALL SELECT x.page_id, x.blocked, x.t, y.t, '' FROM one x JOIN one y ON x.page_id = y.page_id AND x.t < y.t
-  UNION ALL SELECT x.page_id, x.blocked, x.t, y.t, z.t FROM one x JOIN one y ON x.page_id = y.page_id AND x.t < y.t JOIN one z ON y.page_id = z.page_id AND y.t < z.t),
-f AS (SELECT a, b, c, count(*) AS n, count(*) FILTER (blocked) AS k FROM sets GROUP BY ALL),
-need AS (SELECT ceil(0.002 * count(*)) AS m FROM pages),
-good AS (SELECT a, b, c, CASE WHEN k >= m AND k / n >= 0.95 THEN k / n END AS cb, CASE WHEN n - k >= m AND (n - k) / n >= 0.95 THEN (n - k) / n END AS ca FROM f, need),
-fired AS (SELECT page_id, max(cb) AS cb, max(ca) AS ca FROM sets JOIN good USING (a, b, c) GROUP BY 1)
+one AS (SELECT page_id, CASE WHEN lang <> '' THEN lang NOT IN ('en', 'de', 'fr') END AS blocked, unnest(ts) AS t FROM tok),
+sets AS (SELECT page_id, blocked, t AS last, t AS s FROM one UNION ALL SELECT sets.page_id, sets.blocked, t, s || chr(10) || t FROM sets JOIN one ON sets.page_id = one.page_id AND t > last),
+f AS (SELECT s, count(*) AS n, count(*) FILTER (blocked) AS k FROM sets WHERE blocked IS NOT NULL GROUP BY ALL),
+need AS (SELECT ceil(0.002 * count(*)) AS m FROM tok WHERE lang <> ''),
+good AS (SELECT s, CASE WHEN k >= m AND k / n >= 0.95 THEN k / n END AS cb, CASE WHEN n - k >= m AND (n - k) / n >= 0.95 THEN (n - k) / n END AS ca FROM f, need),
+fired AS (SELECT page_id, max(cb) AS cb, max(ca) AS ca FROM sets JOIN good USING (s) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(cb, 0) > coalesce(ca, 0) THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN verdict IS NULL THEN cb END AS mined_confidence
 FROM b LEFT JOIN fired USING (page_id)"""
 

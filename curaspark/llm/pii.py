@@ -4,18 +4,20 @@ Base kinds are leftmost non-overlapping pattern matches that pass a check.
 Their values are the protected entities.  A term (a lower-cased alphanumeric
 word) next to an entity discloses it by pointwise mutual information, estimated
 over documents: log(p(entity | term) / p(entity)) / -log p(entity), which is 1
-where the term fully determines the entity.  Terms over the threshold, seen in
-enough different contexts, become spans of kind ``term`` wherever they occur:
-they are removed where they determine the entity, else generalised.
+where the term fully determines the entity.  Terms over the threshold, seen next
+to the entity in enough different texts, become spans of kind ``term`` wherever
+they occur: they are removed where they determine the entity, else generalised.
 
 Matches and their places come from the same regular expression twice: ``split``
 gives the gaps, ``regexp_extract_all`` the matches between them, and lengths in
 code points add up to offsets.
 
 Edge cases: a null text is empty and has no spans; repeated rows are judged
-alike and count as documents, but copies of one context count once towards a
+alike and count as documents, but copies of one text count once towards a
 term's support; long runs of name characters or digits cost linear time (each
-run is tried from its start only).
+run is tried from its start only), and so do very many matches in one text; an
+empty table gives an empty result; extra columns are kept by ``sanitise`` and
+ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,10 +48,11 @@ class PiiParams:
     context_chars: int = 64  # on each side of an entity
     context_words: int = 6
     min_term: int = 4  # characters of a term
-    min_contexts: int = 3  # different contexts in which a term stands next to an entity
+    min_texts: int = 3  # different texts in which a term stands next to an entity
     threshold: float = 0.8  # of the normalised mutual information
     min_given: float = 0.5  # p(entity | term)
     remove_from: float = 0.999  # p(entity | term) from which a term is removed, not generalised
+    broadcast_bytes: int = 8 << 20  # of terms up to which they are sent to all tasks; more are joined by a shuffle
 
 
 def _digits(hit: Column) -> Column:
@@ -80,26 +83,28 @@ def base_spans(text: Column, kind: str, context: int) -> Column:
     """Valid matches of a kind in order, with the text next to them."""
     pattern = PATTERNS[kind]
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
     def place(z):
-        def step(acc, i):
-            gap, hit, after = F.get(z, i)["gap"], F.get(z, i)["hit"], F.get(z, i + 1)["gap"]
-            lo = acc["at"] + F.length(gap)
-            hi = lo + F.length(hit)
-            one = F.struct(lo.alias("start"), hi.alias("end"), hit.alias("hit"), F.right(gap, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after"), (i + 2 == F.size(z)).alias("last"))
-            return F.struct(hi.alias("at"), F.when(_valid(kind, hit), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        hits = F.slice(z, F.lit(1), F.size(z) - 1)
+        return shared.let(shared.running(hits, F.lit(0), lambda at, x: at + F.length(x["gap"]) + F.length(x["hit"])), lambda at: F.filter(F.transform(hits, lambda x, i: one(z, at, x, i)), lambda s: _valid(kind, s["hit"])))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(z) - 2), start, step)["out"]
+    def one(z, at, x, i):
+        lo = F.get(at, i) + F.length(x["gap"])
+        sides = F.right(x["gap"], F.lit(context)).alias("before"), F.left(F.get(z, i + 1)["gap"], F.lit(context)).alias("after")
+        return F.struct(lo.alias("start"), (lo + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), *sides, (i + 2 == F.size(z)).alias("last"))
 
     placed = shared.let(pairs, lambda z: F.when(F.size(z) > 1, place(z)).otherwise(F.array().cast(SPAN)))
     return F.when(text.rlike(HINTS[kind]), placed).otherwise(F.array().cast(SPAN))
 
 
 def with_base(docs: DataFrame, keep: list, params: PiiParams) -> DataFrame:
-    """``keep`` columns, _t and one array of spans per kind (_email ...); contexts have one character more, which tells whether they are cut."""
+    """``keep`` columns, _rid, _t and one array of spans per kind (_email ...); written, so that the patterns run once.
+
+    Contexts have one character more than the parameter, which tells whether they are cut.
+    """
     t = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    return t.select("*", *(base_spans(F.col("_t"), k, params.context_chars + 1).alias(f"_{k}") for k in KINDS))
+    made = t.select("*", F.monotonically_increasing_id().alias("_rid"), *(base_spans(F.col("_t"), k, params.context_chars + 1).alias(f"_{k}") for k in KINDS))
+    return shared.spill(made, "base")
 
 
 def _tagged(kind: str):
@@ -123,70 +128,75 @@ def _context_terms(params: PiiParams) -> Column:
     return F.filter(F.array_distinct(F.concat(before, after)), lambda x: F.length(x) >= params.min_term)
 
 
-def disclosing_terms(spans: DataFrame, docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:  # noqa: B008
-    """term, given (p(entity | term)), score: the terms that disclose an entity.
+def _words(text: Column, params: PiiParams) -> Column:
+    """The distinct words of a text that may be terms, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), shared.ALNUM_BETWEEN, -1)), lambda w: F.length(w) >= params.min_term)
 
-    ``spans``: did, kind, s; ``docs``: the whole corpus, for the terms' document counts.
-    """
+
+def _holders(base: DataFrame, wanted: DataFrame, params: PiiParams) -> DataFrame:
+    """_rid, term: which rows hold which of the wanted terms. Words that are not wanted go before any shuffle if the wanted ones are small."""
+    size = wanted.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    small = F.broadcast(wanted) if size <= params.broadcast_bytes else wanted
+    return base.select("_rid", F.explode(_words(F.col("_t"), params)).alias("term")).join(small, "term", "left_semi")
+
+
+def disclosing_terms(base: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:  # noqa: B008
+    """term, given (p(entity | term)), score: the terms that disclose an entity. ``base``: the whole corpus, of ``with_base``."""
+    listed = F.concat(*(F.transform(f"_{k}", _tagged(k)) for k in KINDS))
+    spans = base.filter(F.greatest(*(F.size(f"_{k}") for k in KINDS)) > 0).select(F.xxhash64("_t").alias("did"), F.explode(listed).alias("x")).select("did", "x.kind", "x.s")
     value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("s.hit"))).otherwise(F.lower("s.hit"))
-    # a span of each different text, with the rows that hold it: all counts below are of rows
-    held = spans.groupBy("did", "kind", "s").agg(F.count(F.lit(1)).alias("rows")).select("did", "rows", "s", F.xxhash64("kind", value).alias("entity"))
-    near = held.select("did", "rows", "entity", F.xxhash64(F.right(F.col("s.before"), F.lit(params.context_chars)), F.left(F.col("s.after"), F.lit(params.context_chars))).alias("ctx"), F.explode(_context_terms(params)).alias("term"))
-    contexts = near.groupBy("entity", "term", "ctx").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= params.min_contexts)
+    # a span of each different text, with the rows that hold it: all probabilities below are of rows
+    held = spans.groupBy("did", "kind", "s").agg(F.count(F.lit(1)).alias("rows")).select("did", "rows", "s", F.sha2(F.concat_ws(":", "kind", value), 256).alias("entity"))
+    held = shared.spill(held, "entities")
+    near = held.select("did", "rows", "entity", F.explode(_context_terms(params)).alias("term"))
     # a text counts once, whatever the number of its contexts
-    together = near.groupBy("entity", "term", "did").agg(F.max("rows").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"))
-    pairs = contexts.join(together, ["entity", "term"])
-    pairs = shared.spill(pairs, "pairs")
+    pairs = near.groupBy("entity", "term", "did").agg(F.max("rows").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count(F.lit(1)).alias("texts"))
+    pairs = shared.spill(pairs.filter(F.col("texts") >= params.min_texts), "pairs")
     if pairs.isEmpty():  # nothing stands next to an entity often enough: the corpus counts would meet no term
         return pairs.select("term", F.lit(0.0).alias("given"), F.lit(0.0).alias("score"))
     entities = held.groupBy("entity", "did").agg(F.max("rows").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_entity"))
-    term = F.explode(F.array_distinct(F.regexp_extract_all(F.translate("_t", shared.UPPER, shared.LOWER), F.lit(shared.ALNUM_WORD), F.lit(0)))).alias("term")
-    wanted = pairs.select("term").distinct()
-    counts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t")).select(term).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
-    n = docs.count()
-    given, p = F.col("together") / F.col("n_term"), F.col("n_entity") / F.lit(float(max(n, 1)))
-    scored = pairs.join(counts, "term").join(entities, "entity").select("term", F.least(given, F.lit(1.0)).alias("given"), (1 - F.log(F.least(given, F.lit(1.0))) / F.log(F.least(p, F.lit(0.999999)))).alias("score"))
+    counts = _holders(base, shared.spill(pairs.select("term").distinct(), "wanted"), params).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = base.count()
+    given, p = F.least(F.col("together") / F.col("n_term"), F.lit(1.0)), F.col("n_entity") / F.lit(float(max(n, 1)))
+    scored = pairs.join(counts, "term").join(entities, "entity").select("term", given.alias("given"), (1 - F.log(given) / F.log(F.least(p, F.lit(0.999999)))).alias("score"))
     return scored.filter((F.col("score") >= params.threshold) & (F.col("given") >= params.min_given)).groupBy("term").agg(F.max("given").alias("given"), F.max("score").alias("score"))
 
 
 def find(docs: DataFrame, params: PiiParams = PiiParams(), keep: list | None = None) -> DataFrame:  # noqa: B008
-    """``keep`` columns, _t and spans: array of (kind, start, end, action) by kind as listed, then start.
+    """``keep`` columns, _t and _spans: array of (kind, start, end, action) by kind as listed, then start.
 
-    ``keep`` defaults to doc_id. Rows are joined by a hash of the text, so that any row, repeated or without an id, keeps its own.
+    ``keep`` defaults to doc_id. Rows are joined by a number of their own, so that any row, repeated or without an id, keeps its spans.
     """
-    keep = [F.col("doc_id")] if keep is None else keep
-    base = with_base(docs, keep, params)
-    alike = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("did"), "text")
-    listed = F.concat(*(F.transform(f"_{k}", _tagged(k)) for k in KINDS))
-    spans = with_base(alike.select("did", "text"), [F.col("did")], params).select("did", F.explode(listed).alias("x")).select("did", "x.kind", "x.s")
-    spans = shared.spill(spans, "spans")
-    terms = shared.spill(disclosing_terms(spans, docs, params), "terms")
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), shared.UPPER, shared.LOWER), F.lit(shared.ALNUM_WORD), F.lit(0)))).alias("term")
+    base = with_base(docs, [F.col("doc_id")] if keep is None else keep, params)
+    terms = shared.spill(disclosing_terms(base, params), "terms")
     if terms.isEmpty():
-        with_terms = base.withColumn("_terms", F.array().cast("array<struct<start:bigint,end:bigint,given:double>>"))
+        with_terms = base.withColumn("_terms", F.array().cast(TERMS))
     else:
-        met = alike.select("did", word).join(terms, "term").groupBy("did").agg(F.collect_set(F.struct("term", "given")).alias("met"))
-        with_terms = base.withColumn("did", F.xxhash64("_t")).join(met, "did", "left").withColumn("_terms", _term_spans())
+        met = _holders(base, terms.select("term"), params).join(terms, "term").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "given"))).alias("_met"))
+        with_terms = base.join(shared.spill(met, "met"), "_rid", "left").withColumn("_terms", _term_spans())
     base_part = F.concat(*(F.transform(f"_{k}", _placed(k)) for k in KINDS))
     term_part = F.transform("_terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.when(s["given"] >= params.remove_from, "remove").otherwise("generalise").alias("action")))
-    rest = [c for c in with_terms.columns if c not in ("did", "met", "_terms", *(f"_{k}" for k in KINDS))]
+    rest = [c for c in with_terms.columns if c not in ("_rid", "_met", "_terms", *(f"_{k}" for k in KINDS))]
     return with_terms.select(*(F.col(f"`{c}`") for c in rest), F.concat(base_part, term_part).alias("_spans"))
 
 
+#: Characters of no alphanumeric word, of either case.
+NO_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+TERMS = "array<struct<start:bigint,end:bigint,given:double>>"
+
+
 def _term_spans() -> Column:
-    lower = F.translate("_t", shared.UPPER, shared.LOWER)
-    pairs = F.arrays_zip(F.split(lower, shared.ALNUM_WORD, -1).alias("gap"), F.regexp_extract_all(lower, F.lit(shared.ALNUM_WORD), F.lit(0)).alias("hit"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,given:double>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    # words of either case in the text as it is, so that places hold whatever a letter becomes in lower case
+    pairs = F.arrays_zip(F.split("_t", f"[^{NO_WORD}]+", -1).alias("gap"), shared.words(F.col("_t"), f"[{NO_WORD}]+").alias("hit"))
+
+    def place(z):
+        return shared.let(shared.running(z, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit("")))), lambda a: F.filter(F.transform(z, lambda x, i: one(a, x, i)), lambda s: s["given"].isNotNull()))
 
-    def step(acc, p):
-        lo = acc["at"] + F.length(p["gap"])
-        hi = lo + F.length(p["hit"])
-        own = F.filter("met", lambda m: m["term"] == p["hit"])
-        one = F.struct(lo.alias("start"), hi.alias("end"), F.element_at(own, 1)["given"].alias("given"))
-        return F.struct(F.coalesce(hi, lo).alias("at"), F.when(F.size(own) > 0, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def one(at, x, i):
+        lo = F.get(at, i) + F.length(x["gap"])
+        return F.struct(lo.alias("start"), (lo + F.length(x["hit"])).alias("end"), F.try_element_at(F.col("_met"), F.lower(x["hit"])).alias("given"))
 
-    return F.when(F.col("met").isNull(), empty).otherwise(F.aggregate(pairs, start, step)["out"])
+    return F.when(F.col("_met").isNull(), F.array().cast(TERMS)).otherwise(shared.let(pairs, place))
 
 
 def detect(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:  # noqa: B008
@@ -206,14 +216,16 @@ def sanitise(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:  #
     """``docs`` with its texts' spans generalised to [KIND] or removed; other columns and null texts unchanged."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     found = find(docs, params, [whole])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["end"].alias("end"), s["kind"].alias("kind"), s["action"].alias("action"))))
+    # the end of what is covered before each span; a span that starts inside is cut to what it adds, without a label of its own
+    covered = lambda s: shared.let(shared.running(s, F.lit(0), lambda at, x: F.greatest(at, x["end"])), lambda at: F.filter(F.transform(s, lambda x, i: piece(F.get(at, i), x)), lambda x: x["end"] > x["at"]))
 
-    def step(acc, s):
-        label = F.when(s["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        fresh = F.concat(acc["out"], F.substr("_t", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), label)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def piece(at, x):
+        label = F.when((x["action"] == "remove") | (x["start"] < at), "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.struct(at.alias("at"), F.greatest(x["start"], at).alias("start"), x["end"].alias("end"), label.alias("label"))
 
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["end"].alias("end"), s["kind"].alias("kind"), s["action"].alias("action"))))
-    rest = lambda acc: F.concat(acc["out"], F.substr("_t", (acc["at"] + 1).cast("int"), F.length("_t")))
-    made = F.when(F.col("_row.text").isNull(), F.lit(None)).when(F.size("_spans") == 0, F.col("_t")).otherwise(F.aggregate(by_start, start, step, rest))
+    def rebuilt(cuts):
+        return shared.let(shared.cut_blocks(F.col("_t")), lambda b: F.concat(F.array_join(F.transform(cuts, lambda x: F.concat(shared.cut(b, x["at"], x["start"]), x["label"])), ""), shared.cut(b, F.element_at(cuts, -1)["end"], F.length("_t"))))
+
+    made = F.when(F.col("_row.text").isNull(), F.lit(None)).when(F.size("_spans") == 0, F.col("_t")).otherwise(shared.let(shared.let(by_start, covered), rebuilt))
     return found.select("_row", made.alias("_new")).select(*((F.col("_new").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))

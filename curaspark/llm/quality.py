@@ -70,8 +70,10 @@ def _repeat_words(words: Column) -> Column:
     def covered(hashes):
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(hashes))
 
-    windows = F.transform(F.sequence(F.lit(1), size - (N - 1)), lambda i: F.xxhash64(F.slice(words, i, N)))
-    return F.when(size < N, F.lit(0)).otherwise(shared.let(windows, covered)).cast("long")
+    # each word is hashed once; a window's hash is that of its words' hashes
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - N), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(N))))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(size < N, F.lit(0)).otherwise(shared.let(hashes, lambda h: shared.let(windows(h), covered))).cast("long")
 
 
 def _covered(hashes: Column) -> Column:
@@ -95,9 +97,11 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of each row and its text statistics (prefixed by nothing; ``keep`` must not clash)."""
     keep = ["doc_id"] if keep is None else keep
     text = F.coalesce(F.col("text"), F.lit(""))
-    without = lambda cls: F.length("_t") - F.length(F.regexp_replace("_t", cls, ""))
+    # the characters that are counted are drawn out in one pass; what is left of most texts is short
+    without = lambda cls: F.length("_c") - F.length(F.regexp_replace("_c", cls, ""))
+    drawn = F.regexp_replace("_t", r"[^#*$%&|<>!0-9\p{Lu}]+", "")
     has_word = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = docs.select(*keep, text.alias("_t")).withColumn("_w", shared.words(F.col("_t")))
+    base = docs.select(*keep, text.alias("_t")).withColumn("_w", shared.words(F.col("_t"))).withColumn("_c", drawn)
     base = base.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),

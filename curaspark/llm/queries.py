@@ -51,7 +51,7 @@ def op10_chat(spark, sf_dir):
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     typed = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text").unionByName(own)
     return chat.digests(chat.format_conversations(typed.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 

@@ -117,7 +117,7 @@ def find_anchors(docs: DataFrame, params: RepeatParams) -> DataFrame:
                     t, h, seg, at, lo, hi = anchors(data, off, params)
                 yield pa.RecordBatch.from_arrays([rows.column("did").take(pa.array(t)), pa.array(h), pa.array(seg), *(pa.array(x + start, pa.int32()) for x in (at, lo, hi))], ["did", "h", "seg", "at", "lo", "hi"])
 
-    return docs.mapInArrow(run, StructType([docs.schema["did"], *StructType.fromDDL("h bigint, seg bigint, at int, lo int, hi int").fields]))
+    return shared.map_arrow(docs, run, StructType([docs.schema["did"], *StructType.fromDDL("h bigint, seg bigint, at int, lo int, hi int").fields]))
 
 
 class Columns:
@@ -234,7 +234,7 @@ def _columns(segments: DataFrame, params: RepeatParams) -> DataFrame:
         if held.n:
             yield from held.runs()
 
-    return segments.mapInArrow(run, "h bigint, seg bigint, a int, b int")
+    return shared.map_arrow(segments, run, "h bigint, seg bigint, a int, b int")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         c = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], ["h", "seg", "before", "bytes"])
 
-    return joined.mapInArrow(packed, "h bigint, seg bigint, before int, bytes binary")
+    return shared.map_arrow(joined, packed, "h bigint, seg bigint, before int, bytes binary")
 
 
 def repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:  # noqa: B008
@@ -316,7 +316,7 @@ def remove(docs: DataFrame, params: RepeatParams = RepeatParams(), with_text: bo
             c = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), *([pa.array(c[4], pa.binary())] if with_text else [])], schema.names)
 
-    return whole.mapInArrow(run, schema)
+    return shared.map_arrow(whole, run, schema)
 
 
 def judge(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:  # noqa: B008

@@ -293,4 +293,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             n = counter.count(data, off)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return shared.map_arrow(docs.select("doc_id", "text"), run, out)

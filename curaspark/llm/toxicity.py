@@ -218,7 +218,7 @@ def lexicon(rows: DataFrame, params: ToxicParams) -> tuple[list[str], frozenset[
 
     A family is a MinHash of a text's three-word runs: near copies mostly share it and count once.
     """
-    w = F.regexp_extract_all(F.translate("text", shared.UPPER, shared.LOWER), F.lit(shared.ALNUM_WORD), F.lit(0))
+    w = shared.words(F.translate("text", shared.UPPER, shared.LOWER), shared.ALNUM_BETWEEN)
     triples = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(x, i, 3)))
     listed = rows.select("toxic", shared.let(w, lambda x: F.struct(F.array_distinct(x).alias("w"), F.array_min(triples(x)).alias("family"))).alias("_x")).select("toxic", "_x.w", "_x.family")
     listed = shared.spill(listed, "families")
@@ -243,7 +243,7 @@ def lexicon(rows: DataFrame, params: ToxicParams) -> tuple[list[str], frozenset[
             yield pa.RecordBatch.from_arrays([pa.array([raw[off[i] : off[i + 1]] for i in np.flatnonzero(hit)], pa.binary())], ["w"])
 
     ordinary = counts.filter(F.col("n") - F.col("p") >= 2).select("t")
-    return chosen, frozenset(bytes(r.w) for r in ordinary.mapInArrow(near, "w binary").collect())
+    return chosen, frozenset(bytes(r.w) for r in shared.map_arrow(ordinary, near, "w binary").collect())
 
 
 def fit(rows: DataFrame, terms: list[str], known: frozenset[bytes], params: ToxicParams) -> Model:
@@ -255,7 +255,7 @@ def fit(rows: DataFrame, terms: list[str], known: frozenset[bytes], params: Toxi
             x = features(automaton, known, params, data, off)
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), arrays.list_array(pa.array(x.ravel()), np.arange(len(x) + 1) * FEATURES)], ["toxic", "x"])
 
-    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = shared.map_arrow(rows.select("text", "toxic"), run, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()
     if not got:
         return Model(terms, known, np.zeros(FEATURES), params)
     x, y, n = np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]), np.array([float(r.n) for r in got])
@@ -298,7 +298,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("score double").fields])
-    out = docs.select("doc_id", "text").mapInArrow(run, schema)
+    out = shared.map_arrow(docs.select("doc_id", "text"), run, schema)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= params.threshold).cast("int").alias("predicted"))
 
 

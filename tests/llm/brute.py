@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -87,6 +88,36 @@ def targets(sizes):
         fixed |= {s: 2 * sizes[s] for s in over}
 
 
+def schedule(targets, block):
+    """{source: [slot of each rank]} of the golden-ratio schedule."""
+    order = sorted(targets, key=lambda s: (s is None, s or ""))
+    total, n = sum(targets[s] for s in order), 0
+    bounds, at = [], 0.0
+    for s in order:
+        at += targets[s]
+        bounds.append(at / total)
+    out = {s: [] for s in order}
+    n = math.ceil(total / block)
+    for i in range(n):
+        u = (i + 0.5) * 0.6180339887498949 % 1
+        out[next((s for s, hi in zip(order, bounds, strict=True) if u < hi), order[-1])].append(i)
+    for s in order:
+        for _ in range(len(out[s]), math.ceil(round(targets[s]) / block)):
+            out[s].append(n)
+            n += 1
+    return out
+
+
+def pieces(slots, goal, size, block):
+    """(slot, from, to) on a source's line, which is laid twice."""
+    for rank, slot in enumerate(slots):
+        a, b = rank * block, min(rank * block + block, goal)
+        for k in (0, 1):
+            x, y = max(a, k * size), min(b, k * size + size)
+            if x < y:
+                yield slot, x - k * size, y - k * size
+
+
 def conversations(rows):
     """rows: (conv_id, turn, role, text)"""
     by = defaultdict(list)

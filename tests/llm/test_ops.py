@@ -1,5 +1,6 @@
 """Operators against plain versions, over the smallest tables and over made-up edge cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -141,6 +142,14 @@ def test_mix_reaches_targets_and_repeats(spark, frame):
     for s, t in want.items():
         assert abs(sum(r.taken for r in got if r.source == s) - t) <= 1 and all(abs(r.target - t) < 1e-6 for r in got if r.source == s)
     assert all(r.taken <= 2 * r["size"] and sum(x.n for x in r.slots or []) == r.taken for r in got)
+    line, first = {}, {}
+    for r in sorted(got, key=lambda r: (hashlib.sha256((f"mix:{r.doc_id}" if r.doc_id is not None else "mix").encode()).hexdigest(), r.doc_id or 0, r.rid)):
+        first[r.rid] = line.get(r.source, 0)
+        line[r.source] = first[r.rid] + r["size"]
+    plan = brute.schedule(want, 512)
+    for r in got:
+        places = [(slot, max(a, first[r.rid]) - first[r.rid], min(b, first[r.rid] + r["size"]) - max(a, first[r.rid])) for slot, a, b in brute.pieces(plan.get(r.source, []), round(want[r.source]), sizes[r.source], 512) if max(a, first[r.rid]) < min(b, first[r.rid] + r["size"])]
+        assert sorted(places) == [(x.slot, x.first, x.n) for x in r.slots or []]
     again = mixing.mix(frame(rows, source)).collect()
     assert sorted(str((r.doc_id, r.taken)) for r in again) == sorted(str((r.doc_id, r.taken)) for r in got)
 
@@ -160,13 +169,22 @@ def test_schedule_is_even(spark):
 
 def test_urls(spark):
     cases = ["http://a.example.com/en/7x?q#f", "HTTPS://EXAMPLE.COM/en/1", "x://com/en/", "ftp://org#a", "nothing", None, "", "http://notexample.com/en/7", "http://u@NET/de/8/http://x", "http://example.net/de/81", "a://?b", "http://É.org/es/"]
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id bigint, url string, host string")
+    df = spark.createDataFrame([(i, u, "<p>", "x") for i, u in enumerate(cases)], "page_id bigint, url string, html string, host string")
     for r in urls.judge(df).collect():
         host, path = brute.split_url(cases[r.page_id])
         rule = brute.url_rule(host, path, urls.GIVEN_RULES)
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[1]) and r.verdict == (rule[0] if rule else "allow"), cases[r.page_id]
 
 
+def test_rules_mined_from_contents(spark):
+    rows = [(i, f"http://{'m.' if i % 2 else ''}host{i % 5}.info/{'es' if i % 6 == 0 else 'en'}/{i}", None if i % 50 == 0 else f'<!DOCTYPE html>\n<HTML class="x" Lang={"es-MX" if i % 6 == 0 else "en"}>') for i in range(300)]
+    rows += [rows[6]] * 3 + [(1000, "http://host1.info/es/1", None), (1001, None, None), (None, "http://host1.info/es/2", "<html lang='en'>"), (1002, "x://host1.info/fr/1" + "/y" * 3000, "")]
+    df = spark.createDataFrame([(*r, "t", "k") for r in rows], "page_id bigint, url string, html string, tokens string, key string")
+    got = urls.judge(df, params=urls.MiningParams(min_support=0.02)).collect()
+    assert len(got) == len(rows) and {r.page_id: r.verdict for r in got} == {i: "block" if u and "/es/" in u else "allow" for i, u, _ in rows}
+    assert urls.judge(df.limit(0)).count() == 0 and all(r.verdict == "allow" for r in urls.judge(df.withColumn("html", F.lit(None).cast("string"))).collect())
+
+
 def test_mined_rules_block_what_is_like_the_labelled(spark):
     rows = [(i, f"http://{'cheap-pills' if i % 4 == 0 else 'good'}.shop{i % 7}.info/{i}") for i in range(400)]
     df = spark.createDataFrame(rows, "page_id bigint, url string")
