@@ -6,17 +6,18 @@ annotated with the piece starts that they settle (at this character, or one
 back).  A text is cut into chunks; each chunk's map from entry state to exit
 state is computed for all states at once, the maps compose in a parallel prefix
 scan, and a second run from the known entry states emits the piece starts.
-Inside a piece the merges decide the number of tokens; that part of the machine
-is built lazily, a weight for each piece met, in a bounded cache per worker.
+Inside a piece an automaton over the vocabulary's trie reads byte by byte; each
+transition carries the token that the prefix now ends with and the number of
+tokens so far (``Machine``).  All distinct pieces of a slice are read together.
 
 Special strings are found first, as the library does by default, count as one
 token and cut the text.  Edge cases: a null text is empty and has 0 tokens; any
-length of text is counted whole; repeated rows and extra columns change nothing.
+length of text is counted whole; an empty table gives an empty result; repeated
+rows and extra columns change nothing.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -39,7 +40,6 @@ STATES = 12
 #: white space as the pattern's \s has it: fixed values
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CHUNK = 128
-CACHE = 1 << 20
 
 
 def class_table() -> np.ndarray:
@@ -152,15 +152,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-NONE = 1 << 60
+NONE = 1 << 30
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tokens by number, bytes first. ``ranks``: rank of the merge of two numbers, ``made``: the number that a merge makes."""
+    """Tokens by number: bytes first, then each merge's token, so that of two merges the one of the lesser number comes first.
 
-    ranks: dict[int, int]
-    made: list[int]
+    ``parts``: the two tokens that each merged one is made of (a byte of itself), by number.
+    """
+
+    parts: np.ndarray
     specials: tuple[bytes, ...]
 
     @staticmethod
@@ -170,60 +172,167 @@ class Vocabulary:
         back = {v: k for k, v in byte_letters().items()}
         raw = lambda s: bytes(back[c] for c in s)
         number = {bytes([b]): b for b in range(256)}
-        ranks, made = {}, []
+        parts = [(b, b) for b in range(256)]
         for m in spec["model"]["merges"]:
             x, y = map(raw, m.split(" ") if isinstance(m, str) else m)
-            ranks[number[x] << 20 | number[y]] = len(made)
-            made.append(number.setdefault(x + y, len(number)))
-        return Vocabulary(ranks, made, tuple(x["content"].encode() for x in spec.get("added_tokens", [])))
-
-    def weight(self, piece: bytes) -> int:
-        """Tokens that the merges leave of a piece: the pair of the least rank first, all its places from the left."""
-        parts = list(piece)
-        if len(parts) > 200:
-            return self._long(parts)
-        get, made = self.ranks.get, self.made
-        while len(parts) > 1:
-            rank = [get(x << 20 | y, NONE) for x, y in zip(parts, parts[1:], strict=False)]
-            best = min(rank)
-            if best == NONE:
+            if x + y in number:
+                raise ValueError("two merges make one token: their order is not that of the numbers")
+            parts.append((number[x], number[y]))
+            number[x + y] = len(number)
+        return Vocabulary(np.array(parts, np.int64), tuple(x["content"].encode() for x in spec.get("added_tokens", [])))
+
+
+class Machine:
+    """The merges as an automaton that counts while it reads.
+
+    A text's tokens by the merges are the one sequence of tokens in which each, alone, comes out whole and any two
+    neighbours stay apart (``apart``).  So the last token of a prefix is the one of its suffixes that is a token and
+    stays apart from the last token of the prefix before it; an automaton over the vocabulary's trie (Aho-Corasick)
+    gives the suffixes, the longest first.  A transition's count is that of the prefix before the token, and one.
+    """
+
+    MEMO = 1 << 20
+    WIDE = 64  # bytes up to which pieces are read together
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.left, self.right = np.ascontiguousarray(vocabulary.parts.T)
+        n = len(self.left)
+        keys = (self.left << 20 | self.right)[256:]
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_made = keys[order], order + 256
+        self.memo_key, self.memo_ok = np.full(self.MEMO, -1, np.int64), np.zeros(self.MEMO, bool)
+        # a token counts if its own bytes become it
+        every = np.arange(n)
+        sound = np.ones(n, bool)
+        sound[256:] = self._apart(self.left[256:], self.right[256:], every[256:])
+        while not (again := sound & sound[self.left] & sound[self.right]).tolist() == sound.tolist():
+            sound = again
+        self._trie(sound)
+        self.scalar: dict[int, bool] = {}
+
+    def _trie(self, sound: np.ndarray) -> None:
+        n = len(sound)
+        text = [bytes([b]) for b in range(256)]
+        for x, y in zip(self.left[256:].tolist(), self.right[256:].tolist(), strict=True):
+            text.append(text[x] + text[y])
+        self.length = np.array(list(map(len, text)), np.int64)
+        child: dict[int, int] = {}
+        token, node_of, level = [-1], [0] * n, [[] for _ in range(int(self.length.max()) + 1)]
+        for t in np.flatnonzero(sound).tolist():
+            node = 0
+            for depth, c in enumerate(text[t]):
+                key = node << 8 | c
+                if (nxt := child.get(key)) is None:
+                    nxt = child[key] = len(token)
+                    token.append(-1)
+                    level[depth].append((key, nxt))
+                node = nxt
+            token[node], node_of[t] = t, node
+        nodes = len(token)
+        go, fail = np.zeros((nodes, 256), np.int32), np.zeros(nodes, np.int64)
+        longest = np.array(token, np.int64)
+        for depth, made in enumerate(level):
+            if not made:
                 break
-            new = made[best]
-            if rank.count(best) == 1:
-                at = rank.index(best)
-                parts[at : at + 2] = [new]
-                continue
-            out, at = [], 0
-            while at < len(parts):
-                hit = at < len(rank) and rank[at] == best
-                out.append(new if hit else parts[at])
-                at += 2 if hit else 1
-            parts = out
-        return len(parts)
-
-    def _long(self, parts: list[int]) -> int:
-        """The same with a heap: a piece may be a whole text without spaces."""
-        n = len(parts)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        get, made = self.ranks.get, self.made
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << 20 | parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        count = n
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if not alive[i] or parts[i] != a or j >= n or parts[j] != b:
-                continue
-            parts[i], alive[j], after[i] = made[rank], False, after[j]
-            count -= 1
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := get(parts[i] << 20 | parts[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
-            k = before[i]
-            if k >= 0 and (r := get(parts[k] << 20 | parts[i])) is not None:
-                heapq.heappush(heap, (r, k, parts[k], parts[i]))
-        return count
+            key, node = (np.array(x) for x in zip(*made, strict=True))
+            up, c = key >> 8, key & 255
+            fail[node] = go[fail[up], c] if depth else 0
+            longest[node] = np.where(longest[node] < 0, longest[fail[node]], longest[node])
+            go[up, c] = node
+            go[node] = go[fail[node]]  # whose children are no deeper than this level; the node's own come with the next
+        self.go, self.longest = go.ravel(), longest
+        self.shorter = longest[fail[np.array(node_of)]]
+
+    def _pair(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The token that a merge makes of each two, or NONE."""
+        key = x << 20 | y
+        k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[k] == key, self.pair_made[k], NONE) if len(self.pair_keys) else np.full(len(x), NONE)
+
+    def _apart(self, x: np.ndarray, y: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Whether no merge under ``before`` joins any of what x ends with and y begins with while both are there.
+
+        The two are taken apart backwards in time.  Of equal merges the left one comes first: so the right one is
+        undone first, and a merge across of the same number would have come before it.
+        """
+        ok, live = np.ones(len(x), bool), np.arange(len(x))
+        while len(live):
+            met = self._pair(x, y) < before
+            ok[live[met]] = False
+            go = ~met & ((x > 255) | (y > 255))
+            live, x, y = live[go], x[go], y[go]
+            first = x > y
+            before, x, y = np.where(first, x, y + 1), np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        return ok
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the tokens x and y stay as they are next to each other; answers are kept in a table of fixed size."""
+        key = x << 20 | y
+        slot = ((key * 0x9E3779B1) >> 7) & (self.MEMO - 1)
+        out = self.memo_ok[slot]
+        new = np.flatnonzero(self.memo_key[slot] != key)
+        if len(new):
+            fresh, back = np.unique(key[new], return_inverse=True)
+            got = self._apart(fresh >> 20, fresh & 0xFFFFF, np.full(len(fresh), NONE))
+            out[new] = got[back]
+            self.memo_key[slot[new]], self.memo_ok[slot[new]] = key[new], got[back]
+            # of keys that share a place the last write stays, for the key and for the answer alike
+        return out
+
+    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each piece."""
+        size = ends - starts
+        out = np.zeros(len(size), np.int64)
+        wide = size <= self.WIDE
+        out[wide] = self._together(data, starts[wide], size[wide])
+        for k in np.flatnonzero(~wide).tolist():
+            out[k] = self._alone(data[starts[k] : ends[k]])
+        return out
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        order = np.argsort(-size, kind="stable")
+        s, n = starts[order], len(order)
+        width = int(size.max(initial=0))
+        last, count = np.zeros((width + 1, n), np.int32), np.zeros((width + 1, n), np.int32)
+        state = np.zeros(n, np.int64)
+        alive = np.searchsorted(-size[order], -np.arange(width), "left")  # pieces of more than t bytes
+        for t in range(width):
+            m = alive[t]
+            state = self.go[(state[:m] << 8) | data[s[:m] + t]].astype(np.int64)
+            token, todo = self.longest[state], np.arange(m)
+            while len(todo):
+                x = token[todo]
+                at = t + 1 - self.length[x]
+                ok = at == 0
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self.apart(last[at[inner], todo[inner]].astype(np.int64), x[inner])
+                here = todo[ok]
+                last[t + 1, here], count[t + 1, here] = x[ok], count[at[ok], here] + 1
+                todo = todo[~ok]
+                token[todo] = self.shorter[token[todo]]  # never runs out: one of the suffixes is the prefix's last token
+        out = np.empty(n, np.int64)
+        out[order] = count[size[order], np.arange(n)]
+        return out
+
+    def _alone(self, piece: np.ndarray) -> int:
+        """The same for one long piece, step by step: a piece may be a whole text without spaces."""
+        last, count, state = [0], [0], 0
+        go, longest, shorter, length, known = self.go, self.longest, self.shorter, self.length, self.scalar
+        for t, c in enumerate(piece.tolist(), 1):
+            state = int(go[state << 8 | c])
+            x = int(longest[state])
+            while (at := t - int(length[x])) > 0:
+                key = last[at] << 20 | x
+                if (ok := known.get(key)) is None:
+                    if len(known) > self.MEMO:
+                        known.clear()
+                    ok = known[key] = bool(self._apart(np.array([last[at]]), np.array([x]), np.array([NONE]))[0])
+                if ok:
+                    break
+                x = int(shorter[x])
+            last.append(x)
+            count.append(count[at] + 1)
+        return count[-1]
 
 
 def cut_specials(data: np.ndarray, off: np.ndarray, specials: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,14 +353,14 @@ def cut_specials(data: np.ndarray, off: np.ndarray, specials: tuple[bytes, ...])
 
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.cache = vocabulary, {}
+        self.specials, self.machine = vocabulary.specials, Machine(vocabulary)
         self.classes = class_table()
         self.to, self.emit = compile_transducer()
 
     def count(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(off) - 1, np.int64)
-        seg, special, owner = cut_specials(data, off, self.vocabulary.specials)
+        seg, special, owner = cut_specials(data, off, self.specials)
         if not len(data):
             return out
         at = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of the characters
@@ -265,16 +374,7 @@ class Counter:
         starts, ends, inside = starts[own], ends[own], inside[own]
         h = arrays.range_hashes(data, starts, ends)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        raw, cache, weight = data.tobytes(), self.cache, self.vocabulary.weight
-        if len(cache) > CACHE:
-            cache.clear()
-        weights = np.empty(len(first), np.int64)
-        for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
-            piece = raw[a:b]
-            w = cache.get(piece)
-            if w is None:
-                w = cache[piece] = weight(piece)
-            weights[k] = w
+        weights = self.machine.counts(data, starts[first], ends[first])
         np.add.at(out, owner[special], 1)
         return out + np.bincount(owner[inside], weights=weights[which], minlength=len(out)).astype(np.int64)
 
