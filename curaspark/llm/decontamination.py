@@ -12,8 +12,10 @@ and a benchmark of several blocks makes several passes over the documents whose
 spans are merged.
 
 Edge cases: a null text or one without words has no windows and no hits; items
-with the same id are one item; repeated documents are judged each; empty tables
-give no hits; extra columns are ignored (``drop_contaminated`` keeps them).
+with the same id are one item; items without an id are one item whose id is the
+empty string; repeated documents are judged each; very long texts are read
+whole; empty tables give no hits; extra columns are ignored, whatever their
+names (``drop_contaminated`` keeps them).
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ from . import arrays, shared
 @dataclass(frozen=True)
 class LeakParams:
     size: int = 10  # words in a window
-    block_bytes: int = 16 << 20  # of benchmark text in a broadcast index
+    block_bytes: int = 4 << 20  # of benchmark text in a broadcast index, which is about four times as large
 
 
 def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks of ``limit`` bytes of text or one longer item; only one block is held at a time."""
     block, size = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).filter("i is not null").distinct().toLocalIterator():
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    for r in named.distinct().toLocalIterator():
         block.append((r.i, r.t))
-        size += len(r.t)
+        size += len(r.t.encode())
         if size >= limit:
             yield block
             block, size = [], 0
@@ -48,36 +52,37 @@ def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]
 
 
 class Index:
-    """Windows of a block of items; sorted arrays only, so that it pickles small."""
+    """Windows of a block of items, as places in one array of its words' hashes: about 20 bytes a word."""
 
     def __init__(self, block: list[tuple[str, str]], size: int):
         self.ids = sorted({i for i, _ in block})
         place = {x: k for k, x in enumerate(self.ids)}
         data, off = arrays.utf8(pa.array([t for _, t in block], pa.string()))
-        h, _, _, woff = arrays.words(data, off, arrays.ALNUM)
-        owner, seqs = [], []
-        for k, (i, _) in enumerate(block):
-            w = h[woff[k] : woff[k + 1]]
-            for j in range(max(1, len(w) - size + 1) if len(w) else 0):
-                owner.append(place[i])
-                seqs.append(w[j : j + size])
-        self.size, self.owner = size, np.array(owner, np.int64)
-        self.length = np.array([len(s) for s in seqs], np.int64)
-        self.seq = np.zeros((len(seqs), size), np.uint64)
-        for k, s in enumerate(seqs):
-            self.seq[k, : len(s)] = s
-        self.vocabulary = np.unique(h)
+        self.size = size
+        self.words, _, _, woff = arrays.words(data, off, arrays.ALNUM)
+        n = np.diff(woff)
+        windows = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+        first = np.repeat(woff[:-1] - np.cumsum(windows) + windows, windows)
+        self.begin = (first + np.arange(len(first))).astype(np.int32)
+        self.owner = np.repeat(np.array([place[i] for i, _ in block], np.int32), windows)
+        self.length = np.repeat(np.minimum(n, size), windows).astype(np.int16)
+        self.vocabulary = np.unique(self.words)
 
     def order(self, count: np.ndarray) -> None:
         """Fix each window's prefix word by the documents' counts of the vocabulary."""
-        n = count[np.minimum(np.searchsorted(self.vocabulary, self.seq), max(0, len(self.vocabulary) - 1))] if len(self.vocabulary) else np.zeros_like(self.seq, dtype=np.int64)
-        n = np.where(np.arange(self.size) < self.length[:, None], n, np.iinfo(np.int64).max)
-        self.at = n.argmin(axis=1) if len(n) else np.zeros(0, np.int64)
-        key = self.seq[np.arange(len(self.at)), self.at]
+        n = count[np.searchsorted(self.vocabulary, self.words)] if len(self.words) else np.zeros(0, np.int64)
+        self.at, least = np.zeros(len(self.begin), np.int16), np.full(len(self.begin), np.iinfo(np.int64).max)
+        for j in range(self.size):
+            there = np.flatnonzero(self.length > j)
+            here = n[self.begin[there] + j]
+            less = here < least[there]
+            self.at[there[less]], least[there[less]] = j, here[less]
+        key = self.words[self.begin + self.at]
         order = np.argsort(key, kind="stable")
         self.prefix, first = np.unique(key[order], return_index=True)
         self.first = np.append(first, len(order))
-        self.owner, self.length, self.seq, self.at = self.owner[order], self.length[order], self.seq[order], self.at[order]
+        self.begin, self.owner, self.length, self.at = self.begin[order], self.owner[order], self.length[order], self.at[order]
+        self.vocabulary = None  # not needed by probes
 
     def probe(self, h: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts among the words, lengths and item numbers of all occurrences."""
@@ -97,9 +102,9 @@ class Index:
         for j in range(self.size):  # exact: word by word, the failing ones leave at once
             inside = self.length[w] > j
             same = ~inside
-            same[inside] = h[start[inside] + j] == self.seq[w[inside], j]
+            same[inside] = h[start[inside] + j] == self.words[self.begin[w[inside]] + j]
             start, w = start[same], w[same]
-        return start, self.length[w], self.owner[w]
+        return start, self.length[w].astype(np.int64), self.owner[w].astype(np.int64)
 
 
 def _count_vocabulary(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -156,21 +161,26 @@ def _scan(docs: DataFrame, index: Index | None, columns: list[str]) -> DataFrame
     return shared.map_arrow(docs, scan, full)
 
 
+def _index(docs: DataFrame, block: list[tuple[str, str]], params: LeakParams) -> Index:
+    index = Index(block, params.size)
+    index.order(_count_vocabulary(docs, index.vocabulary))
+    return index
+
+
 def find(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:  # noqa: B008
     """doc_id, n_words, spans, items of every row of docs."""
     given = docs.select("doc_id", F.col("text").alias("_text"))
-    parts = []
-    for block in _item_blocks(items, params.block_bytes):
-        index = Index(block, params.size)
-        index.order(_count_vocabulary(docs, index.vocabulary))
-        parts.append(index)
-    if len(parts) <= 1:
-        return _scan(given, parts[0] if parts else None, ["doc_id"])
+    blocks = _item_blocks(items, params.block_bytes)
+    block, after = next(blocks, None), next(blocks, None)
+    if after is None:
+        return _scan(given, _index(docs, block, params) if block else None, ["doc_id"])
+    # several blocks: one index at a time, each pass written before the next block is read
     keyed = given.withColumn("th", F.sha2(F.coalesce("_text", F.lit("")), 256))
     out = None
-    for k, index in enumerate(parts):
-        one = _scan(keyed, index, ["doc_id", "th"]).withColumn("first", F.lit(int(k == 0)))
+    while block is not None:
+        one = shared.spill(_scan(keyed, _index(docs, block, params), ["doc_id", "th"]).withColumn("first", F.lit(int(out is None))), "pass")
         out = one if out is None else out.unionByName(one)
+        block, after = after, next(blocks, None)
     out = out.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("first").alias("copies"))
     return out.select("doc_id", "n_words", F.array_sort("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
 

@@ -1,7 +1,8 @@
 """Near-duplicate documents by odd sketches of MinHash samples, confirmed on full sets.
 
-1. Texts with the same set of word shingles form a class; only one text of a
-   class goes on, so copies cost one row each.
+1. Texts with the same set of word shingles, told by a 128-bit digest of the
+   whole set, form a class; only one text of a class goes on, so copies cost
+   one row each.
 2. A class has ``bands`` x ``rows`` MinHash samples and an odd sketch: a bitmap
    in which each sample flips one bit.  The population count of two sketches'
    XOR estimates the number of samples in which they differ.
@@ -21,12 +22,14 @@ A pair at the threshold shares no band with probability (1 - s**rows)**bands
 
 Edge cases: a null text or one without words has an empty set, is linked with
 nothing and is its own component; fewer words than a shingle are one shingle;
-repeated rows are copies of each other; extra columns are ignored
+repeated rows are copies of each other; very long texts are read whole; an empty
+table gives an empty result; extra columns are ignored, whatever their names
 (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,13 +63,10 @@ class NearParams:
         return int(np.ceil(self.sketch_bits / 2 * (1 - np.exp(-4 * self.samples * (1 - j) / self.sketch_bits))))
 
 
-def _set_keys(g: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One 64-bit key of each set, its order-free sum mixed with its size; -1 for an empty one."""
-    total = np.zeros(len(g) + 1, np.uint64)
-    np.cumsum(arrays.mix(g + np.uint64(1)), out=total[1:])
-    n = np.diff(off)
-    keys = arrays.mix((total[off[1:]] - total[off[:-1]]) ^ (n.astype(np.uint64) * np.uint64(arrays.Q))).view(np.int64)
-    return np.where(n == 0, -1, keys)
+def _set_keys(g: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A 128-bit digest of each whole set, whose shingles are distinct and in order; null for an empty one."""
+    raw, at = g.astype("<u8").tobytes(), (8 * off).tolist()
+    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
 
 def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def fold(sample: np.ndarray, bits: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, params: NearParams) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, key (null for an empty set), bands (64-bit keys) and sketch of each document."""
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("th bigint, n_shingles bigint, key bigint, bands array<bigint>, sketch binary").fields])
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("th bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary").fields])
 
     def run(batches):
         for rows, data, off in arrays.slices(batches, "text"):
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, params: NearParams) -> DataFrame:
             there = n > 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"), rows.column("th"), pa.array(n, pa.int64()), pa.array(_set_keys(g, goff), pa.int64(), mask=~there),
+                    rows.column("doc_id"), rows.column("th"), pa.array(n, pa.int64()), _set_keys(g, goff),
                     arrays.list_array(pa.array(band[there].ravel(), pa.int64()), np.append(0, np.cumsum(there)) * params.bands), pa.array([x.tobytes() for x in fold(s, params.sketch_bits)], pa.binary()),
                 ],
                 schema.names,
@@ -136,7 +136,7 @@ def plausible(pairs: DataFrame, params: NearParams) -> DataFrame:
 
     low = params.percent / 100
     sized = pairs.filter((F.col("na") >= low * F.col("nb") - 1) & (F.col("nb") >= low * F.col("na") - 1))
-    return shared.map_arrow(sized.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
+    return shared.map_arrow(sized.select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([rows.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return shared.map_arrow(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
+    return shared.map_arrow(both.select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
@@ -169,7 +169,7 @@ def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
             g, goff = arrays.shingle_sets(data, off, params.shingle)
             yield pa.RecordBatch.from_arrays([rows.column("key"), arrays.list_array(pa.array(g.view(np.int64)), goff)], ["key", "g"])
 
-    return shared.map_arrow(texts.select("key", "text"), run, "key bigint, g array<bigint>")
+    return shared.map_arrow(texts.select("key", "text"), run, "key binary, g array<bigint>")
 
 
 def block_links(outer: tuple[np.ndarray, np.ndarray, np.ndarray], inner: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -204,21 +204,23 @@ def _cross(cells: DataFrame, params: NearParams) -> DataFrame:
     def run(key, table):
         table = table.combine_chunks()
         outer = np.array(table.column("outer").to_pylist(), bool)
+        number = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy() if len(table) else np.zeros(0, np.int64)
 
         def block(mask):
             t = table.filter(pa.array(mask))
             lists = t.column("g").combine_chunks()
             sizes = np.array([len(x) for x in lists], np.int64)
             g = lists.flatten().to_numpy(zero_copy_only=False)
-            return t.column("key").to_numpy(), (g, np.append(0, np.cumsum(sizes)), t.column("component").to_numpy())
+            return t.column("key"), (g, np.append(0, np.cumsum(sizes)), number[mask])
 
         (a, x), (b, y) = block(outer), block(~outer)
         i, j = block_links(x, y, percent)
         # one link between two components is enough
         _, first = np.unique(np.stack([x[2][i], y[2][j]]), axis=1, return_index=True)
-        return pa.table({"a": pa.array(a[i[first]], pa.int64()), "b": pa.array(b[j[first]], pa.int64())})
+        return pa.table({"a": a.take(pa.array(i[first])), "b": b.take(pa.array(j[first]))})
 
-    return cells.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+    shared.ship_package(cells.sparkSession)
+    return cells.groupBy("cell").applyInArrow(run, "a binary, b binary")
 
 
 def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, map_arrow, ship_package, spill, written
 
-__all__ = ["ALNUM_BETWEEN", "ALNUM_WORD", "LOWER", "UPPER", "cut", "cut_blocks", "discard", "let", "map_arrow", "n_words", "running", "spill", "table", "words", "written"]
+__all__ = ["ALNUM_BETWEEN", "ALNUM_WORD", "LOWER", "UPPER", "cut", "cut_blocks", "discard", "let", "map_arrow", "n_words", "running", "ship_package", "spill", "table", "words", "written"]
 #: What lies between words: ASCII white space.
 BETWEEN = r"[\x20\x09-\x0D]+"
 #: The same for alphanumeric words, and such a word, of lower-cased text.

@@ -14,17 +14,25 @@
    updates the common lengths of neighbours.  Columns come from, and repeated
    windows go to, sequential external files.  A window ending in a round
    repeats if its common length with a neighbour reaches ``length``.
+   An anchor with more than ``hot`` different segments is split first: its windows
+   fall into ranges of offsets, all windows of a range share a core, and a core
+   that one segment alone has, or whose segments are the same over the range, is
+   settled by a grouped count.  Only ranges across an edge of what is common are
+   left; their windows are counted one by one.  So no task holds one anchor's
+   segments, however many there are.
 4. Repeated windows go back to every place of their segment, are merged in each
    document, and the bytes are cut out.
 
 Strings are judged on the input.  Edge cases: a null text is empty; texts
 shorter than ``length`` lose nothing; repeated rows are copies of each other, so
-that both lose what they share; overlapping repeats in one document count.
+that both lose what they share; overlapping repeats in one document count; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import tempfile
 from dataclasses import dataclass
 
@@ -41,7 +49,9 @@ from . import arrays, shared
 class RepeatParams:
     length: int = 400  # bytes of a string
     gram: int = 50  # bytes of an anchor
-    batch: int = 16_384  # segments that go through the columns together, unless one anchor has more
+    batch: int = 16_384  # segments that go through the columns together, at least
+    hot: int = 1_024  # different segments over which an anchor is split
+    span: int = 19  # offsets in a range of a split anchor
 
     @property
     def windows(self) -> int:
@@ -121,7 +131,7 @@ def find_anchors(docs: DataFrame, params: RepeatParams) -> DataFrame:
 
 
 class Columns:
-    """Segments of whole anchors, aligned at them: symbols in a temporary file, numbers in memory.
+    """Segments of whole anchors, aligned at them: symbols in a temporary file, numbers in memory (batch + hot at most).
 
     Column k holds the symbol k - windows + 1 bytes after the anchor. Rows become columns a block at a time, and
     lie in the file block by block.
@@ -211,8 +221,8 @@ class Columns:
                 yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(seg[i]), pa.array((a - start[i]).astype(np.int32)), pa.array((b - 1 + length - start[i]).astype(np.int32))], ["h", "seg", "a", "b"])
 
 
-def _columns(segments: DataFrame, params: RepeatParams) -> DataFrame:
-    """h, seg, a, b: the repeated runs of segments (h, seg, before, bytes), which lie together by h, in order."""
+def column_runs(params: RepeatParams):
+    """The Arrow function of ``_columns``."""
 
     def run(batches):
         held, last = Columns(params), None
@@ -234,7 +244,60 @@ def _columns(segments: DataFrame, params: RepeatParams) -> DataFrame:
         if held.n:
             yield from held.runs()
 
-    return shared.map_arrow(segments, run, "h bigint, seg bigint, a int, b int")
+    return run
+
+
+RUNS = "h bigint, seg bigint, a int, b int"
+
+
+def _columns(segments: DataFrame, params: RepeatParams) -> DataFrame:
+    """h, seg, a, b: the repeated runs of segments (h, seg, before, bytes), which lie together by h, in order."""
+    return shared.map_arrow(segments, column_runs(params), RUNS)
+
+
+def _batched(rows, schema: pa.Schema, most: int = 16_384):
+    """Record batches of an iterator of tuples."""
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _split(segments: DataFrame, params: RepeatParams) -> DataFrame:
+    """h, seg, a, b: the same for anchors with any number of segments, by grouped counts alone."""
+    length, span = params.length, params.span
+
+    def ranges(batches):
+        for batch in batches:
+            for h, seg, before, data in zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "before", "bytes")), strict=True):
+                least = before - (len(data) - length)  # fewest bytes of a window before the anchor
+                for r in range(least // span, before // span + 1):
+                    lo, hi = r * span, min(r * span + span, params.windows) - 1
+                    a, b = before - min(hi, before), before - max(lo, least) + length
+                    yield h, seg, r, _digest(data[before - lo : before - hi + length]), _digest(data[a:b] + f"{before - a}".encode()), a, b
+
+    def windows(batches):
+        for batch in batches:
+            for h, r, trim, c, a, b, before, data in zip(*(batch.column(c).to_pylist() for c in ("h", "r", "trim", "c", "a", "b", "before", "bytes")), strict=True):
+                for x in range(a, b - length + 1):
+                    yield h, r, trim, c, x - a, before - x, _digest(data[x : x + length])
+
+    made = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("r", pa.int32()), ("core", pa.binary()), ("trim", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
+    each = shared.spill(shared.map_arrow(segments, lambda x: _batched(ranges(x), made), "h bigint, seg bigint, r int, core binary, trim binary, a int, b int"), "ranges")
+    met = each.groupBy("h", "r", "core").agg(F.count(F.lit(1)).alias("n"), F.min("trim").alias("x"), F.max("trim").alias("y")).filter("n > 1").select("h", "r", "core", (F.col("x") == F.col("y")).alias("same"))
+    each = shared.spill(each.join(shared.spill(met, "cores"), ["h", "r", "core"]), "edges")
+    open_ = each.filter(~F.col("same"))
+    one = open_.groupBy("h", "r", "trim").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("seg", "a", "b")).alias("s")).select("h", "r", "trim", "c", "s.*")
+    read = one.join(segments, ["h", "seg"]).select("h", "r", "trim", "c", "a", "b", "before", "bytes")
+    made2 = pa.schema([("h", pa.int64()), ("r", pa.int32()), ("trim", pa.binary()), ("c", pa.int64()), ("off", pa.int32()), ("i", pa.int32()), ("w", pa.binary())])
+    single = shared.spill(shared.map_arrow(read, lambda x: _batched(windows(x), made2), "h bigint, r int, trim binary, c bigint, off int, i int, w binary"), "windows")
+    twice = single.groupBy("h", "i", "w").agg(F.sum("c").alias("n")).filter("n > 1").select("h", "i", "w")
+    found = single.join(shared.spill(twice, "twice"), ["h", "i", "w"]).select("h", "r", "trim", "off")
+    parts = open_.join(shared.spill(found, "found"), ["h", "r", "trim"]).select("h", "seg", (F.col("a") + F.col("off")).alias("a"), (F.col("a") + F.col("off") + length).alias("b"))
+    return each.filter("same").select("h", "seg", "a", "b").unionByName(parts)
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -281,7 +344,11 @@ def repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame
     segs = found.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("did", "at", "lo", "hi")).alias("r")).select("h", "seg", "c", "mixed", "r.*")
     segs = shared.spill(segs, "segments")
     whole = segs.filter("c > 1").select("h", "seg", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
-    parts = _columns(_fetch(docs, segs.filter("mixed")).repartition("h").sortWithinPartitions("h"), params)
+    mixed = segs.filter("mixed")
+    hot = shared.spill(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > params.hot).select("h"), "hot")
+    parts = _columns(_fetch(docs, mixed.join(hot, "h", "left_anti")).repartition("h").sortWithinPartitions("h"), params)
+    if not hot.isEmpty():
+        parts = parts.unionByName(_split(shared.spill(_fetch(docs, mixed.join(hot, "h", "left_semi")), "split"), params))
     # runs of one segment as one row, so that a document's places are joined once
     cut = whole.unionByName(parts).groupBy("h", "seg").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     spans = found.join(shared.spill(cut, "repeated"), ["h", "seg"]).select("did", F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"]).alias("b"))).alias("s"))

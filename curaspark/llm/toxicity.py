@@ -13,7 +13,8 @@ the id) that are not held out: crc32 of the id as text, modulo 3, is not 1.
 
 Edge cases: a null or empty text has no hits and gets the model's lowest score;
 without labels the score is the same for every document; repeated rows score
-alike; very long texts are read whole.
+alike; very long texts are read whole; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ FEATURES = 6
 @dataclass(frozen=True)
 class ToxicParams:
     train_rows: int = 20_000  # labelled rows that learning may use at most
-    max_terms: int = 256
     min_families: int = 4  # families of texts with a term
     min_prevalence: float = 0.002  # the same as a share of the toxic families
     min_ratio: float = 16.0  # likelihood ratio (G) of a term
@@ -233,7 +233,8 @@ def lexicon(rows: DataFrame, params: ToxicParams) -> tuple[list[str], frozenset[
     part = lambda x, ref: F.when(x > 0, x * F.log(x / (F.col("n") * ref))).otherwise(0.0)
     ratio = 2 * (part(F.col("p"), F.lit(base)) + part(F.col("n") - F.col("p"), F.lit(1 - base)))
     found = terms.withColumn("g", ratio).filter((share >= params.min_share) & (F.col("g") >= params.min_ratio) & (F.length("t") >= 3))
-    chosen = [r.t for r in found.orderBy(F.desc("g"), "t").limit(params.max_terms).collect()]
+    # every term over the limits; their number is bounded by the sample's families over min_families
+    chosen = [r.t for r in found.select("t").orderBy("t").collect()]
     automaton = Automaton(chosen, params.fuzzy_from)
 
     def near(batches):
