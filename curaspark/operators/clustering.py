@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, FatalPipelineError
 from ..functions.vectors import LEAST_NORM, assign, matrix, normalize
+from ..session import map_arrow, spill
 
 
 @dataclass(frozen=True)
@@ -117,18 +119,18 @@ def fit(vectors: DataFrame, params: FitParams) -> tuple[DataFrame, Fit]:
     for retry in range(params.empty_retries + 1):
         seed = params.seed + retry
         got = _mllib(vectors, params, seed) if params.backend == "mllib_cosine" else lloyd(training_set(vectors, n, params, seed), params, seed)
-        assigned = assign(vectors, "vector", got.centroids).persist()
+        assigned = spill(assign(vectors, "vector", got.centroids), "assigned")
         if not cluster_sizes(assigned, params.k).filter("cluster_size = 0").limit(1).count():
             named, order = canonical(assigned)
             return named, Fit(got.centroids[order], seed, got.objective)
-        assigned.unpersist()
     raise FatalPipelineError("a cluster stayed empty in every attempt")
 
 
 def representatives(assigned: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """cluster_id, representative: the least id among the members within the tolerance of the best similarity."""
-    best = F.max("cosine_to_centroid").over(Window.partitionBy("cluster_id"))
-    near = assigned.select("cluster_id", "instance_id", "cosine_to_centroid", best.alias("_best")).filter(F.abs(F.col("cosine_to_centroid") - F.col("_best")) <= tolerance)
+    # one row per cluster, of which a fit's parameters fix the number: joined back instead of a window over each cluster
+    best = assigned.groupBy("cluster_id").agg(F.max("cosine_to_centroid").alias("_best"))
+    near = assigned.select("cluster_id", "instance_id", "cosine_to_centroid").join(best, "cluster_id").filter(F.abs(F.col("cosine_to_centroid") - F.col("_best")) <= tolerance)
     return near.groupBy("cluster_id").agg(F.min("instance_id").alias("representative"))
 
 
@@ -148,5 +150,16 @@ def canonical(assigned: DataFrame) -> tuple[DataFrame, list[int]]:
 
 def lloyd_step(assigned: DataFrame) -> DataFrame:
     """cluster_id, pos, mean of the unit members' numbers, before normalisation: the distributed form of one update."""
-    parts = assigned.select("cluster_id", F.posexplode("unit").alias("pos", "x"))
-    return parts.groupBy("cluster_id", "pos").agg(F.avg("x").alias("mean"))
+
+    def sums(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("unit"), np.float64)
+                ids, which = np.unique(batch.column("cluster_id").to_numpy(), return_inverse=True)
+                total = np.zeros((len(ids), x.shape[1]))
+                np.add.at(total, which, x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, x.shape[1]), pa.int32()), pa.array(np.tile(np.arange(x.shape[1], dtype=np.int32), len(ids))), pa.array(total.ravel()), pa.array(np.repeat(np.bincount(which), x.shape[1]))], ["cluster_id", "pos", "s", "n"])
+
+    # vectors are added up a batch at a time: K x D numbers of a batch are shuffled, not one per vector and place
+    parts = map_arrow(assigned.select(F.col("cluster_id").cast("int").alias("cluster_id"), "unit"), sums, "cluster_id int, pos int, s double, n bigint")
+    return parts.groupBy("cluster_id", "pos").agg((F.sum("s") / F.sum("n")).alias("mean"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.vectors import display_round
 from ..schemas import REVIEW, conform
+from .ranking import ranked_in_parts
 
 #: Category of a detection, and the order of rows without a cluster.
 CATEGORY = "defect"
@@ -18,16 +19,10 @@ def _similar_first() -> list[Column]:
 
 
 def ranked(instances: DataFrame) -> DataFrame:
-    """Adds cluster_rank (from 1) and cluster_size; both null without a cluster.
-
-    The count needs the whole cluster, the rank its order: one shuffle and one sort serve both.
-    """
+    """Adds cluster_rank (from 1) and cluster_size; both null without a cluster. A cluster of any size is spread over tasks."""
     there = F.col("cluster_id").isNotNull()
-    # instances without a cluster are spread by their ids, not gathered in the null partition
-    spread = F.when(~there, F.xxhash64("instance_id"))
-    by = Window.partitionBy("cluster_id", spread)
-    rank = F.row_number().over(by.orderBy(*_similar_first()))
-    return instances.withColumn("cluster_rank", F.when(there, rank)).withColumn("cluster_size", F.when(there, F.count(F.lit(1)).over(by)))
+    out = ranked_in_parts(instances, _similar_first(), "cluster_rank", "cluster_size", "cluster_id")
+    return out.withColumn("cluster_rank", F.when(there, F.col("cluster_rank"))).withColumn("cluster_size", F.when(there, F.col("cluster_size")))
 
 
 def primary(instances: DataFrame) -> DataFrame:
@@ -39,8 +34,7 @@ def primary(instances: DataFrame) -> DataFrame:
 
 def review_order(instances: DataFrame) -> DataFrame:
     """image_path, cluster_id, review_order: images ranked in their primary instance's cluster."""
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(*_similar_first()))
-    return primary(instances).withColumn("review_order", rank).select("image_path", "cluster_id", "review_order")
+    return ranked_in_parts(primary(instances), _similar_first(), "review_order", group="cluster_id").select("image_path", "cluster_id", "review_order")
 
 
 def _xywh(x: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import FatalPipelineError
 from ..functions.text import sanitize
 from ..schemas import FAILURES, conform
+from .ranking import ranked_in_parts
 
 
 def failure_fraction(images: DataFrame) -> DataFrame:
@@ -57,26 +58,17 @@ def statuses_after_embedding(images: DataFrame, instances: DataFrame) -> DataFra
 
 
 def cluster_summary(instances: DataFrame) -> DataFrame:
-    """Size, similarities and representative (most similar, then least id) of each cluster."""
+    """Size, similarities and representative (most similar, then least id) of each cluster, in order of the clusters."""
     key = F.struct((-F.col("cosine_to_centroid")).alias("_s"), F.col("instance_id").alias("_i"))
     c = F.col("cosine_to_centroid")
     return instances.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("cluster_size"), F.min_by("instance_id", key).alias("representative_instance_id"), F.avg(c).alias("mean_cosine_to_centroid"), F.min(c).alias("min_cosine_to_centroid"), F.max(c).alias("max_cosine_to_centroid")
-    )
+    ).orderBy("cluster_id")
 
 
 def embedding_rows(instances: DataFrame, order: list[str], name: str = "embedding_row", partitions: int | None = None) -> DataFrame:
-    """0-based ordinals in a global order without a single-partition window.
-
-    Rows are range-partitioned, numbered inside each partition, and shifted by the sizes of the partitions before.
-    """
-    n = partitions or int(instances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = instances.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    inside = inside.persist()
-    sizes = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return inside.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    """0-based ordinals in a global order without a single-partition window."""
+    return ranked_in_parts(instances, [F.col(c) for c in order], name, partitions=partitions).withColumn(name, F.col(name) - 1)
 
 
 def failure_log(parts: list[DataFrame]) -> DataFrame:
