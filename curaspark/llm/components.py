@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Each round is a grouped minimum and a join per star, so that a node with many
-links is aggregated before the shuffle; rounds are written to the shared folder
-to cut the lineage.  The number of rounds is logarithmic in a component's
+links is aggregated before the shuffle and salted in the join; rounds are written
+to the shared folder to cut the lineage.  The number of rounds is logarithmic in a component's
 diameter.  Nothing but counters reaches the driver.
 """
 
@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+SALTS = 8
+
+
 def _star(links: DataFrame) -> DataFrame:
     """u, v -> m, v: every neighbour of u (and u) pointed at the least of them."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return links.join(least, "u").select("u", "v", "m")
+    # a node with very many links is spread over SALTS tasks; its one least goes to each of them
+    salted = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return links.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "_salt"]).select("u", "v", "m")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

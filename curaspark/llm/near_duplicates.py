@@ -301,12 +301,13 @@ def keep_one(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     stays = F.col("_class").isNull() | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     fate = named.join(firsts, "_class", "left").groupBy("doc_id", "th").agg(F.bool_and(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
     odd = shared.spill(fate.filter("n > 1 or not stays").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "stays"), "odd")
-    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (text == F.col("_t"))
-    left = docs.join(odd.select("_d", "_t"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # rows as one column, so that no column of theirs meets one of the joins'
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))
+    left = whole.join(odd.select("_d", "_t"), same, "left_anti").select("_row.*")
     twice = odd.filter("stays").select("_d", "_t")
     if twice.isEmpty():
         return left
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    again = docs.join(twice, same).select("_d", "_t", row.alias("r")).groupBy("_d", "_t").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    again = whole.join(twice, same).groupBy("_d", "_t").agg(F.min_by("_row", F.to_json("_row")).alias("r"))
     return left.unionByName(again.select("r.*"))

@@ -44,6 +44,29 @@ def pii(text):
     return n, sha(",".join(out))
 
 
+def disclosing_terms(texts, threshold=0.8, min_given=0.5, least=3, words=6, width=64):
+    """Terms by the mutual information with an e-mail, for texts of plain words without copies and one address at most."""
+    near, holders, addresses = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, t in enumerate(texts):
+        for w in set(re.findall(r"[a-z0-9]+", t.lower())):
+            holders[w].add(d)
+        for m in PII["email"][0].finditer(t):
+            addresses[m.group()].add(d)
+            left, right = t[max(0, m.start() - width) : m.start()], t[m.end() : m.end() + width]
+            left = left if m.start() <= width else left.split(" ", 1)[-1]
+            right = right if len(t) - m.end() <= width else right.rsplit(" ", 1)[0]
+            plain = lambda x: [w for w in x.lower().split() if w.isalpha()]
+            for w in plain(left)[-words:] + plain(right)[:words]:
+                if len(w) > 3:
+                    near[m.group(), w].add(d)
+    out = set()
+    for (e, w), ds in near.items():
+        given, p = len(ds) / len(holders[w]), len(addresses[e]) / len(texts)
+        if len(ds) >= least and given >= min_given and 1 - math.log(given) / math.log(p) >= threshold:
+            out.add(w)
+    return out
+
+
 def quality(text):
     t = text or ""
     w = WS.findall(t)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -40,12 +41,13 @@ def test_query_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-@pytest.mark.parametrize("op", ["pii", "mix", "leak", "near", "count", "substr", "tox", "quality"])
+@pytest.mark.parametrize("op", ["pii", "mix", "url", "leak", "near", "count", "substr", "tox", "quality", "chat"])
 def test_empty_tables(spark, frame, tables, op):
     none, labels = frame([]), tables("labels").limit(0)
     import public_tokenizers
 
     run = {
+        "url": lambda: urls.judge(tables("pages").limit(0)), "chat": lambda: chat.digests(chat.format_conversations(tables("conversations").limit(0).withColumn("parts", chat.text_parts(F.col("text"))))),
         "pii": lambda: pii.detect(none), "mix": lambda: mixing.mix(none), "leak": lambda: decontamination.judge(none, tables("benchmark").limit(0)), "near": lambda: near_duplicates.judge(none),
         "count": lambda: tokens.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")), "substr": lambda: substrings.judge(none), "tox": lambda: toxicity.judge(none, labels), "quality": lambda: quality.judge(none, labels),
     }
@@ -121,6 +123,31 @@ def test_sanitise_keeps_rows_and_columns(frame):
     assert sorted(map(str, [(r.doc_id, r.text) for r in out.collect()])) == sorted(map(str, EDGE))
 
 
+def test_very_many_matches_in_one_text(frame):
+    text = " ".join(f"é u{i}@x.org" for i in range(30_000))  # about 400,000 characters
+    r = pii.detect(frame([(1, text)])).first()
+    assert r.n_email == 30_000 and r.base_sha256 == brute.pii(text)[1]
+    assert pii.sanitise(frame([(1, text)])).first().text == " ".join(["é [EMAIL]"] * 30_000)
+
+
+def test_term_spans_against_a_plain_version(frame):
+    rnd = random.Random(12)
+    vocab, names, rows = [f"word{a}{b}" for a in "abcdefgh" for b in "klmno"], ("secretalpha", "secretbeta", "secretgamma"), []
+    for i in range(300):
+        w = [rnd.choice(vocab) for _ in range(12)]
+        if i % 10 < 3:
+            w[5:7] = [names[i % 10], f"id{i % 10}@corp.org"]
+        elif i % 40 == 5:
+            w[5] = "Secretbeta"
+        rows.append((i, " ".join(w)))
+    want = brute.disclosing_terms([t for _, t in rows])
+    assert set(names) <= want
+    for r in pii.detect(frame(rows)).collect():
+        text = rows[r.doc_id][1]
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W_]+", text) if m.group().lower() in want]
+        assert [s for s in r.spans.split(",") if s.startswith("term")] == terms
+
+
 def test_overlapping_spans_are_cut_once(frame):
     out = pii.sanitise(frame([(1, "call +1.2.3.4 55 667788 or x@1.2.3.4 end")])).first().text
     assert out.startswith("call [") and out.endswith(" end") and "667788" not in out
@@ -473,9 +500,34 @@ def test_chat_parts(spark):
     assert [(a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 1024), (0, "audio", "b.wav", 250), (1, "document", "c.pdf", 512), (1, "hologram", "d", 1024)] and r.n_expanded == 2810
 
 
+def test_chat_of_very_many_turns(spark):
+    n = 40_000
+    df = spark.range(n).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <x> "), F.col("id").cast("string")).alias("text"), F.lit("x").alias("ts"))
+    r = chat.digests(chat.format_conversations(df.withColumn("parts", chat.text_parts(F.col("text"))))).first()
+    assert (r.n_turns, r.loss_sha256) == (n, brute.sha("".join(f"é <x> {i}" for i in range(1, n, 2))))
+
+
 # the pipeline
 
 
+def test_stages_of_odd_tables(spark, frame, data):
+    import corpus_pipeline as P
+
+    names = ["_t", "_row", "did", "spans", "key", "band", "th", "_class", "_rid", "_spans", "u", "v"]
+    body = " ".join(f"plain{i} words{i * 7 % 31}" for i in range(60))
+    rows = [*EDGE, (50, body), (50, body), (None, body), (51, body + " call +1 (017) 555-7713 or a@b.co"), (52, "other " + " ".join(f"text{i}" for i in range(80)))]
+    for part in ([], rows):
+        docs = frame(part)
+        for k, x in enumerate(names):
+            docs = docs.withColumn(x, F.lit(k))
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, data)
+            if name != "mix_sources":
+                assert out.columns == docs.columns
+            got = out.collect()
+            assert bool(got) == bool(part), name
+    assert all("a@b.co" not in (r.text or "") for r in P.personal_data(spark, docs, data).collect())
+
 def test_pipeline(spark, data, tables):
     import corpus_pipeline as P
 
