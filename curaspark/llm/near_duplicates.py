@@ -136,7 +136,7 @@ def plausible(pairs: DataFrame, params: NearParams) -> DataFrame:
 
     low = params.percent / 100
     sized = pairs.filter((F.col("na") >= low * F.col("nb") - 1) & (F.col("nb") >= low * F.col("na") - 1))
-    return shared.map_arrow(sized.select("a", "b", "sa", "sb"), run, "a binary, b binary")
+    return shared.map_arrow(sized.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([rows.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return shared.map_arrow(both.select("a", "b", "ta", "tb"), run, "a binary, b binary")
+    return shared.map_arrow(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
 def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
@@ -169,7 +169,7 @@ def shingle_arrays(texts: DataFrame, params: NearParams) -> DataFrame:
             g, goff = arrays.shingle_sets(data, off, params.shingle)
             yield pa.RecordBatch.from_arrays([rows.column("key"), arrays.list_array(pa.array(g.view(np.int64)), goff)], ["key", "g"])
 
-    return shared.map_arrow(texts.select("key", "text"), run, "key binary, g array<bigint>")
+    return shared.map_arrow(texts.select("key", "text"), run, "key bigint, g array<bigint>")
 
 
 def block_links(outer: tuple[np.ndarray, np.ndarray, np.ndarray], inner: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -220,17 +220,18 @@ def _cross(cells: DataFrame, params: NearParams) -> DataFrame:
         return pa.table({"a": a.take(pa.array(i[first])), "b": b.take(pa.array(j[first]))})
 
     shared.ship_package(cells.sparkSession)
-    return cells.groupBy("cell").applyInArrow(run, "a binary, b binary")
+    return cells.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
 def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, n_shingles, key) of every row, and (node, component) of the linked keys."""
+    """(doc_id, th, n_shingles, key) of every row, and (node, component) of the linked keys; components are numbers."""
     signed = shared.spill(signatures(docs, params), "signed")
     # one row of each class stands for it; copies go no further
     one = F.min(F.struct("doc_id", "th", "n_shingles"))
     reps = signed.filter("key is not null").groupBy("key").agg(one.alias("r")).select("key", "r.doc_id", "r.th", F.col("r.n_shingles").alias("n"))
     firsts = signed.join(reps.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("th").alias("t")), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").dropDuplicates(["key"])
-    firsts = shared.spill(firsts.withColumnRenamed("n_shingles", "n"), "classes")
+    # classes go by a number from here on: what is written has it for good, and least numbers need no sorts
+    firsts = shared.spill(firsts.withColumnRenamed("n_shingles", "n").withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
     # bands that several classes share, and their most central members
     each = firsts.select(F.explode("bands").alias("band"), "key")
     shared_bands = each.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -267,12 +268,13 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
     extra = shared.spill(_cross(outer.unionByName(inner).select(cell, "outer", "key", "component", "g"), params), "confirmed")
     if not extra.isEmpty():
         comp = shared.spill(components.components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
-    return signed.select("doc_id", "th", "n_shingles", "key"), comp
+    named = comp.join(firsts.select(F.col("key").alias("node"), "digest"), "node").select(F.col("digest").alias("node"), "component")
+    return signed.select("doc_id", "th", "n_shingles", "key"), named
 
 
 def _with_class(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """rows with _class: the component of their key, null for an empty set."""
-    return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("_class", F.coalesce("component", "key"))
+    return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("_class", F.coalesce(F.encode(F.concat(F.lit("component number "), F.col("component").cast("string")), "utf-8"), "key"))  # longer than any digest
 
 
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
