@@ -151,13 +151,17 @@ def disclosing_terms(base: DataFrame, params: PiiParams = PiiParams()) -> DataFr
     near = held.select("did", "rows", "entity", F.explode(_context_terms(params)).alias("term"))
     # a text counts once, whatever the number of its contexts
     pairs = near.groupBy("entity", "term", "did").agg(F.max("rows").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count(F.lit(1)).alias("texts"))
-    pairs = shared.spill(pairs.filter(F.col("texts") >= params.min_texts), "pairs")
+    # a term stands in at least the rows where it is next to any entity; that bounds p(entity | term) from above, so
+    # what cannot reach min_given needs no count over the corpus
+    around = near.groupBy("term", "did").agg(F.max("rows").alias("rows")).groupBy("term").agg(F.sum("rows").alias("n_near"))
+    pairs = pairs.filter(F.col("texts") >= params.min_texts).join(around, "term").filter(F.col("together") >= params.min_given * F.col("n_near"))
+    pairs = shared.spill(pairs, "pairs")
     if pairs.isEmpty():  # nothing stands next to an entity often enough: the corpus counts would meet no term
         return pairs.select("term", F.lit(0.0).alias("given"), F.lit(0.0).alias("score"))
     entities = held.groupBy("entity", "did").agg(F.max("rows").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_entity"))
     counts = _holders(base, shared.spill(pairs.select("term").distinct(), "wanted"), params).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = base.count()
-    given, p = F.least(F.col("together") / F.col("n_term"), F.lit(1.0)), F.col("n_entity") / F.lit(float(max(n, 1)))
+    given, p = F.col("together") / F.greatest("n_term", "n_near"), F.col("n_entity") / F.lit(float(max(n, 1)))
     scored = pairs.join(counts, "term").join(entities, "entity").select("term", given.alias("given"), (1 - F.log(given) / F.log(F.least(p, F.lit(0.999999)))).alias("score"))
     return scored.filter((F.col("score") >= params.threshold) & (F.col("given") >= params.min_given)).groupBy("term").agg(F.max("given").alias("given"), F.max("score").alias("score"))
 
