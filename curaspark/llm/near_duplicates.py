@@ -240,8 +240,9 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
     rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "key"))
     centre = shared.spill(member.join(company, "key").withColumn("rank", rank).filter(F.col("rank") <= params.centres).select("band", F.col("key").alias("centre"), "rank"), "centres")
     # the texts that a confirmation may need
-    met = firsts.join(member.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    met = shared.spill(firsts.join(member.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("d"), F.col("th").alias("t")), "wanted")
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    hashed = shared.likely(hashed, F.xxhash64("doc_id", "th"), met, F.xxhash64("d", "t"))
     texts = shared.spill(hashed.join(met, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("key", "text").dropDuplicates(["key"]), "texts")
     sketches = firsts.select("key", "n", "sketch")
     side = lambda s: sketches.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))

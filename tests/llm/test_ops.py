@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from curaspark.llm import arrays, chat, components, decontamination, mixing, near_duplicates, pii, quality, queries, substrings, tokens, toxicity, urls
+from curaspark.llm import arrays, chat, components, decontamination, mixing, near_duplicates, pii, quality, queries, shared, substrings, tokens, toxicity, urls
 from tests.compare import assert_same, views
 
 from . import brute
@@ -285,6 +285,15 @@ def test_keep_one_of_repeated_and_null_ids(frame):
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, want))
 
 
+def test_likely_rows_lose_none_that_is_wanted(spark):
+    rows = spark.range(20000).withColumn("h", F.xxhash64("id"))
+    wanted = rows.filter("id % 100 = 3").select(F.col("h").alias("w"))
+    got = {r.id for r in shared.likely(rows, F.col("h"), wanted, F.col("w")).collect()}
+    assert {i for i in range(20000) if i % 100 == 3} <= got and len(got) < 220
+    assert shared.likely(rows, F.col("h"), wanted.limit(0), F.col("w")).count() == 0
+    assert shared.likely(rows, F.col("h"), rows.select(F.col("h").alias("w")), F.col("w")).count() == 20000
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(0, k) for k in range(200, 300)] + [(7, 7)]
