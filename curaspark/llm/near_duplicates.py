@@ -226,10 +226,9 @@ def _cross(cells: DataFrame, params: NearParams) -> DataFrame:
 def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n_shingles, key) of every row, and (node, component) of the linked keys; components are numbers."""
     signed = shared.spill(signatures(docs, params), "signed")
-    # one row of each class stands for it; copies go no further
-    one = F.min(F.struct("doc_id", "th", "n_shingles"))
-    reps = signed.filter("key is not null").groupBy("key").agg(one.alias("r")).select("key", "r.doc_id", "r.th", F.col("r.n_shingles").alias("n"))
-    firsts = signed.join(reps.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("th").alias("t")), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").dropDuplicates(["key"])
+    # one row of each class stands for it; copies go no further, and whole rows are shuffled once
+    row = F.struct("doc_id", "th", "n_shingles", "bands", "sketch")
+    firsts = signed.filter("key is not null").groupBy("key").agg(F.min_by(row, F.struct("doc_id", "th")).alias("r")).select("r.*", "key")
     # classes go by a number from here on: what is written has it for good, and least numbers need no sorts
     firsts = shared.spill(firsts.withColumnRenamed("n_shingles", "n").withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
     # bands that several classes share, and their most central members
@@ -241,9 +240,11 @@ def classes_of(docs: DataFrame, params: NearParams) -> tuple[DataFrame, DataFram
     centre = shared.spill(member.join(company, "key").withColumn("rank", rank).filter(F.col("rank") <= params.centres).select("band", F.col("key").alias("centre"), "rank"), "centres")
     # the texts that a confirmation may need
     met = shared.spill(firsts.join(member.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("d"), F.col("th").alias("t")), "wanted")
-    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    hashed = shared.likely(hashed, F.xxhash64("doc_id", "th"), met, F.xxhash64("d", "t"))
-    texts = shared.spill(hashed.join(met, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("key", "text").dropDuplicates(["key"]), "texts")
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).withColumn("h", F.xxhash64("doc_id", "th"))
+    named = met.withColumn("w", F.xxhash64("d", "t"))
+    # dealt by one hash alone, the rest compared so that it is no join key: repeated rows then meet without another shuffle of texts
+    same = (F.col("h") == F.col("w")) & (F.col("th").bitwiseXOR(F.col("t")) == 0) & F.coalesce(F.col("doc_id") == F.col("d"), F.col("doc_id").isNull() & F.col("d").isNull())
+    texts = shared.spill(shared.likely(hashed, F.col("h"), named, F.col("w")).join(named, same).dropDuplicates(["h", "key"]).select("key", "text"), "texts")
     sketches = firsts.select("key", "n", "sketch")
     side = lambda s: sketches.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     pairs = member.join(centre, "band").filter("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
@@ -308,9 +309,12 @@ def keep_one(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     whole = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
     same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))
-    left = whole.join(odd.select("_d", "_t"), same, "left_anti").select("_row.*")
+    # only rows that may be odd are shuffled to be told exactly; the others stay as they are
+    marked = shared.marked(whole, F.xxhash64("_id", "_th"), odd, F.xxhash64("_d", "_t"))
+    maybe = marked.filter("_likely")
+    left = marked.filter("not _likely").unionByName(maybe.join(odd.select("_d", "_t"), same, "left_anti")).select("_row.*")
     twice = odd.filter("stays").select("_d", "_t")
     if twice.isEmpty():
         return left
-    again = whole.join(twice, same).groupBy("_d", "_t").agg(F.min_by("_row", F.to_json("_row")).alias("r"))
+    again = maybe.join(twice, same).groupBy("_d", "_t").agg(F.min_by("_row", F.to_json("_row")).alias("r"))
     return left.unionByName(again.select("r.*"))

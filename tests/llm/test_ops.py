@@ -285,6 +285,41 @@ def test_keep_one_of_repeated_and_null_ids(frame):
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, want))
 
 
+def shuffled(spark, group, run):
+    """Bytes that the jobs of ``run`` write to shuffles, when joins are not broadcast by size."""
+    context, was = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s) is not None)
+
+
+def test_rows_that_stay_are_not_shuffled_to_drop_others(spark, frame):
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"{rnd.randrange(16**8):08x}" for _ in range(600))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1]) for i in range(4)] + [rows[9]]
+    out = near_duplicates.keep_one(frame(rows))
+    got = []
+    moved = shuffled(spark, "keep_one", lambda: got.extend(out.collect()))
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows[:150])
+    assert moved < 0.25 * sum(len(t) for _, t in rows)
+
+
+def test_a_class_is_found_in_one_shuffle_of_whole_rows(spark, frame):
+    rnd = random.Random(12)
+    docs = frame([(i, " ".join(f"{rnd.randrange(16**8):08x}" for _ in range(12))) for i in range(3000)])
+    moved = shuffled(spark, "classes", lambda: near_duplicates.classes_of(docs, near_duplicates.NearParams()))
+    bands = 3000 * 32 * 36  # the count and the join by bands, whose keys do not compress
+    assert moved < bands + 1.5 * 3000 * 370
+
+
 def test_likely_rows_lose_none_that_is_wanted(spark):
     rows = spark.range(20000).withColumn("h", F.xxhash64("id"))
     wanted = rows.filter("id % 100 = 3").select(F.col("h").alias("w"))
@@ -311,6 +346,22 @@ def test_components(spark):
     assert got == {x: root(x) for x in {y for a, b in links if a != b for y in (a, b)}}
 
 
+def test_links_are_contracted_in_each_task(spark):
+    rnd = random.Random(2)
+    order = list(range(500))
+    rnd.shuffle(order)
+    path = [(a, b) for a, b in zip(order[:300], order[1:300], strict=False)] + [(a, a) for a in order[:5]] + [(order[0], order[5])] * 9
+    links = spark.createDataFrame(path, "a bigint, b bigint")
+    least = min(order[:300])
+    got = components.contract(links.coalesce(1)).collect()
+    assert sorted((r.u, r.v) for r in got) == sorted((x, least) for x in order[:300] if x != least)
+    for n, in_task in ((7, components.EDGES), (1, 0), (7, 0)):
+        got = components.components(links.repartition(n), in_task=in_task).collect()
+        assert sorted((r.node, r.component) for r in got) == sorted((x, least) for x in order[:300])
+    names = spark.createDataFrame([("b", "c"), ("a", "b"), ("é", "x")], "a string, b string")
+    assert {tuple(r) for r in components.components(names).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("é", "x")}
+
+
 def test_odd_sketch_estimates_similarity():
     p = near_duplicates.NearParams()
     rng = np.random.default_rng(2)
